@@ -63,7 +63,8 @@ def answer_relevancy(pairs: DataFrame) -> DataFrame:
 def eval_join(pairs: DataFrame, results: DataFrame, provider: Column | None = None) -> DataFrame:
     """Evaluation rows: every pair keeps a row; a question without a result gets the error answer."""
     joined = pairs.join(results, "question_id", "left")
-    model = F.coalesce(F.col("model"), F.concat(provider or F.lit("unknown"), F.lit("/error")))
+    model = F.coalesce(F.col("model"), F.concat(F.lit("unknown") if provider is None else provider,
+                                             F.lit("/error")))
     return joined.select(
         "question_id", "question", F.coalesce("answer", F.lit(FAILED_ANSWER)).alias("answer"),
         F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"),

@@ -9,7 +9,7 @@ from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators.chunks import explode_chunks, with_chunks
 from sourceloom.operators.files import eligible_files
 from sourceloom.operators.repos import ingest_summary
-from sourceloom.operators.vectors import chunk_vectors
+from sourceloom.operators.vectors import chunk_text, sparse_vectors
 
 
 def can_be_stored(chunk: Column) -> Column:
@@ -28,7 +28,7 @@ def chunk_rows(files: DataFrame, limits: Limits = DEFAULTS, **options) -> DataFr
 
 def vector_rows(chunks: DataFrame) -> DataFrame:
     """Chunks with their sparse vector, as they are stored."""
-    return chunks.join(chunk_vectors(chunks), ["repo_id", "id"])
+    return sparse_vectors(chunks, chunk_text(), chunks.columns)
 
 
 def ingest(repos: DataFrame, files: DataFrame, limits: Limits = DEFAULTS) -> tuple[DataFrame, DataFrame]:
