@@ -333,19 +333,21 @@ def _unit_name(language: Column, unit: Column, head: Column, content: Column) ->
     return F.coalesce(F.nullif(declared, F.lit("")), first_line)
 
 
-def explode_chunks(files: DataFrame) -> DataFrame:
+def explode_chunks(files: DataFrame, boundaries: bool = True) -> DataFrame:
     """One row per chunk from the output of ``with_chunks``."""
     c = files.select("repo_id", "path", "language", F.explode_outer("chunks").alias("c"))
     c = c.where(F.col("c").isNotNull())
-    is_fallback = F.col("c.unit").isNull()
-    label = F.concat(basename("path"), F.coalesce(F.col("c.head"), F.lit("")))
-    name = F.when(is_fallback, label).otherwise(
-        _unit_name(F.col("language"), F.col("c.unit"), F.col("c.head"), F.col("c.content")))
+    name = F.concat(basename("path"), F.coalesce(F.col("c.head"), F.lit("")))
+    kind = F.lit("module")
+    if boundaries:
+        is_fallback = F.col("c.unit").isNull()
+        kind = F.when(is_fallback, kind).otherwise(rules.classify("c.unit"))
+        name = F.when(is_fallback, name).otherwise(
+            _unit_name(F.col("language"), F.col("c.unit"), F.col("c.head"), F.col("c.content")))
     return c.select(
         chunk_id("repo_id", "path", "c.start_line").alias("id"), "repo_id",
         F.col("path").alias("file_path"), "language",
-        F.when(is_fallback, F.lit("module")).otherwise(rules.classify("c.unit")).alias("node_type"),
-        name.alias("node_name"), "c.start_line", "c.end_line", "c.content", "c.context_header",
+        kind.alias("node_type"), name.alias("node_name"), "c.start_line", "c.end_line", "c.content", "c.context_header",
         "c.token_count",
     )
 
@@ -357,7 +359,7 @@ def chunk_files(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
 
 def fallback_chunks(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Chunks by file size and line windows only."""
-    return explode_chunks(with_chunks(files, limits, boundaries=False))
+    return explode_chunks(with_chunks(files, limits, boundaries=False), boundaries=False)
 
 
 def chunk_sample(chunks: DataFrame, n: int = 5) -> DataFrame:

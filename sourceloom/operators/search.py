@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourceloom.functions.vector import BUCKETS
 from sourceloom.limits import DEFAULTS, Limits
@@ -19,6 +20,7 @@ from sourceloom.operators.ranking import top_per_key
 
 VECTOR_BLOCK = 4_096     # vectors scored at once
 QUESTION_BLOCK = 512     # questions scored at once
+MAX_BROADCAST_KEYS = 200_000   # rows of (key, two counts) that are broadcast: a few megabytes
 HIT = "question_id {question_id}, repo_id {repo_id}, id {id}, score double"
 
 
@@ -75,6 +77,8 @@ def _block_scorer(kind: str, dims: int, digits: int | None) -> Callable:
         rows, columns = [], []
         for q, k in enumerate(questions.column("fetch_k").to_pylist()):
             line = scores[q]
+            if k < 1:
+                continue
             if k < line.size:
                 bound = np.partition(line, line.size - k)[line.size - k]
                 candidates = np.flatnonzero((line >= bound) & (line > -np.inf))
@@ -83,6 +87,8 @@ def _block_scorer(kind: str, dims: int, digits: int | None) -> Callable:
             best = candidates[np.argsort(-line[candidates], kind="stable")[:k]]
             rows.append(np.full(best.size, q))
             columns.append(best)
+        if not rows:
+            return schema.empty_table()
         rows, columns = np.concatenate(rows), np.concatenate(columns)
         return pa.Table.from_arrays([
             questions.column("question_id").take(pa.array(rows)),
@@ -105,6 +111,12 @@ def _search(vectors: DataFrame, questions: DataFrame, kind: str, partition: list
                 F.ceil(F.col("_nq") / QUESTION_BLOCK).cast("int").alias("_qb"))
     )
 
+    # Block counts have one row per searched partition. Up to a bound they are broadcast, so vectors
+    # shuffle once, by block; beyond it the join shuffles and adaptive execution splits skewed keys.
+    searched = questions.select(*partition).distinct().limit(MAX_BROADCAST_KEYS + 1).count()
+    if searched <= MAX_BROADCAST_KEYS:
+        sizes = F.broadcast(sizes)
+
     def blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
@@ -151,26 +163,32 @@ def search_dense(vectors: DataFrame, questions: DataFrame, digits: int = 4) -> D
     return _merge(found, questions)
 
 
-def hyperplane_bits(vector: Column, dims: int, tables: int, bits: int) -> Column:
-    """Bucket of a vector in every table, from the signs of its products with +-1 hyperplanes.
+def with_buckets(df: DataFrame, dims: int, tables: int, bits: int) -> DataFrame:
+    """Repeat every row for each hash table, with its bucket there (``lsh_table``, ``lsh_bucket``).
 
-    The sign of coordinate ``d`` in plane ``p`` is the lowest bit of the MD5 of ``p:d``.
+    A bucket number holds the signs of the products with ``bits`` hyperplanes.
     """
     planes = hyperplanes(dims, tables * bits)
 
-    def sign_bit(t: int, b: int) -> Column:
-        plane = F.array(*[F.lit(float(x)) for x in planes[t * bits + b]])
-        product = F.aggregate(F.zip_with(vector, plane, lambda x, s: x.cast("double") * s),
-                              F.lit(0.0), lambda a, x: a + x)
-        return F.when(product >= 0, 1 << b).otherwise(0)
+    def hash_batches(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def table(t: int) -> Column:
-        total = sign_bit(t, 0)
-        for b in range(1, bits):
-            total = total + sign_bit(t, b)
-        return F.struct(F.lit(t).alias("lsh_table"), total.alias("lsh_bucket"))
+        normals = np.array(planes, dtype=float).T
+        weights = 1 << np.arange(bits)
+        for batch in batches:
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+            signs = flat.astype(float).reshape(batch.num_rows, dims) @ normals >= 0
+            numbers = signs.reshape(batch.num_rows, tables, bits) @ weights
+            buckets = pa.ListArray.from_arrays(
+                pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()),
+                pa.array(numbers.ravel().astype("int32")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, buckets],
+                                             names=[*batch.schema.names, "_buckets"])
 
-    return F.array(*[table(t) for t in range(tables)])
+    schema = T.StructType([*df.schema, T.StructField("_buckets", T.ArrayType(T.IntegerType()))])
+    hashed = df.mapInArrow(hash_batches, schema)
+    return hashed.select(*df.columns, F.posexplode("_buckets").alias("lsh_table", "lsh_bucket"))
 
 
 def hyperplanes(dims: int, count: int) -> list[list[int]]:
@@ -189,14 +207,11 @@ def search_lsh(vectors: DataFrame, questions: DataFrame, dims: int, tables: int
     """Approximate form of ``search_dense``: only vectors that share a bucket are scored.
 
     Buckets are scored in bounded blocks like repositories, so a hot bucket is split, and no pairs
-    of a bucket are written. A hit found in several tables is kept once.
+    of a bucket are written. A hit found in several tables is kept once. ``bits`` should grow with
+    the logarithm of the table size, and ``tables`` with the recall that is wanted.
     """
-
-    def hashed(df: DataFrame) -> DataFrame:
-        where = F.explode_outer(hyperplane_bits(F.col("vector"), dims, tables, bits)).alias("_h")
-        return df.select("*", where).select("*", "_h.*").drop("_h")
-
-    found = _search(hashed(vectors), hashed(questions), "dense",
+    found = _search(with_buckets(vectors, dims, tables, bits),
+                    with_buckets(questions, dims, tables, bits), "dense",
                     ["repo_id", "lsh_table", "lsh_bucket"], ["vector"], digits=digits)
     once = found.groupBy("question_id", "repo_id", "id").agg(F.max("score").alias("score"))
     return _merge(once, questions)

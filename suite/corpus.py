@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import rules
 from sourceloom.functions.text import let
+from sourceloom.sources.spread import spread
 from suite import fixed
 
 
@@ -14,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents table, over all cores even when it is a single file."""
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select(*columns) if columns else docs, "doc_id")
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
@@ -33,7 +40,7 @@ def _path(doc_id: Column) -> Column:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file of the repository ``source``."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     return docs.select(
         "doc_id", F.col("source").alias("repo_id"), _path(F.col("doc_id")).alias("path"),
         F.octet_length("text").cast("bigint").alias("size"), F.col("text").alias("content"))
@@ -46,7 +53,7 @@ def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as source code: its lines fill the line templates of a language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
     languages = list(rules.LANGUAGES.items())
     suffixes, names = [k for k, _ in languages], [v for _, v in languages]
     templates = F.create_map(*[x for k, v in fixed.TEMPLATES.items()

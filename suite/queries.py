@@ -64,7 +64,7 @@ def language_counts(spark, sf_dir):
 
 @query
 def token_counts(spark, sf_dir):
-    docs = corpus.table(spark, sf_dir, "documents")
+    docs = corpus.documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", text.token_count("text").alias("token_count"))
 
 
