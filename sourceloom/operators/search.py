@@ -21,7 +21,7 @@ from sourceloom.operators.ranking import top_per_key
 VECTOR_BLOCK = 4_096     # vectors scored at once
 QUESTION_BLOCK = 512     # questions scored at once
 MAX_BROADCAST_KEYS = 200_000   # rows of (key, two counts) that are broadcast: a few megabytes
-HIT = "question_id {question_id}, repo_id {repo_id}, id {id}, score double"
+HIT = "question_id {question_id}, fetch_k {fetch_k}, repo_id {repo_id}, id {id}, score double"
 
 
 def fetch_k(top_k: Column | str, limits: Limits = DEFAULTS) -> Column:
@@ -56,10 +56,9 @@ def _block_scorer(kind: str, dims: int, digits: int | None) -> Callable:
         import numpy as np
         import pyarrow as pa
 
-        names = ["question_id", "repo_id", "id", "score"]
-        types = [questions.schema.field("question_id").type, vectors.schema.field("repo_id").type,
-                 vectors.schema.field("id").type, pa.float64()]
-        schema = pa.schema(list(zip(names, types)))
+        schema = pa.schema([
+            questions.schema.field("question_id"), questions.schema.field("fetch_k"),
+            vectors.schema.field("repo_id"), vectors.schema.field("id"), ("score", pa.float64())])
         if not vectors.num_rows or not questions.num_rows:
             return schema.empty_table()
         vectors = vectors.sort_by("id")      # equal scores rank by id
@@ -92,6 +91,7 @@ def _block_scorer(kind: str, dims: int, digits: int | None) -> Callable:
         rows, columns = np.concatenate(rows), np.concatenate(columns)
         return pa.Table.from_arrays([
             questions.column("question_id").take(pa.array(rows)),
+            questions.column("fetch_k").take(pa.array(rows)),
             vectors.column("repo_id").take(pa.array(columns)),
             vectors.column("id").take(pa.array(columns)),
             pa.array(scores[rows, columns]),
@@ -134,13 +134,12 @@ def _search(vectors: DataFrame, questions: DataFrame, kind: str, partition: list
     return v.groupBy(*group).cogroup(q.groupBy(*group)).applyInArrow(scorer, HIT.format(**types))
 
 
-def _merge(found: DataFrame, questions: DataFrame) -> DataFrame:
-    """Keep the best ``fetch_k`` of all blocks. Ranks beyond the largest fetch_k cannot occur."""
-    limits = questions.select("question_id", "fetch_k")
+def _merge(found: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Keep the best ``fetch_k`` of all blocks; ``fetch_k`` never exceeds ``max_top_k``."""
     order = [F.desc("score"), F.asc("id")]
-    ranked = top_per_key(found, ["question_id"], order, DEFAULTS.max_top_k, salt_by=["id"])
-    return (ranked.join(limits, "question_id").where(F.col("rank") <= F.col("fetch_k"))
-            .select("question_id", "repo_id", "rank", "score", "id"))
+    ranked = top_per_key(found, ["question_id"], order, limits.max_top_k, salt_by=["id"])
+    return ranked.where(F.col("rank") <= F.col("fetch_k")).select(
+        "question_id", "repo_id", "rank", "score", "id")
 
 
 def search_sparse(vectors: DataFrame, questions: DataFrame) -> DataFrame:
@@ -150,7 +149,7 @@ def search_sparse(vectors: DataFrame, questions: DataFrame) -> DataFrame:
     the same vector columns.
     """
     found = _search(vectors, questions, "sparse", ["repo_id"], ["buckets", "tfs", "norm2"], BUCKETS)
-    return _merge(found, questions)
+    return _merge(found)
 
 
 def search_dense(vectors: DataFrame, questions: DataFrame, digits: int = 4) -> DataFrame:
@@ -160,7 +159,7 @@ def search_dense(vectors: DataFrame, questions: DataFrame, digits: int = 4) -> D
     order of summation and the id decides.
     """
     found = _search(vectors, questions, "dense", ["repo_id"], ["vector"], digits=digits)
-    return _merge(found, questions)
+    return _merge(found)
 
 
 def with_buckets(df: DataFrame, dims: int, tables: int, bits: int) -> DataFrame:
@@ -213,5 +212,5 @@ def search_lsh(vectors: DataFrame, questions: DataFrame, dims: int, tables: int
     found = _search(with_buckets(vectors, dims, tables, bits),
                     with_buckets(questions, dims, tables, bits), "dense",
                     ["repo_id", "lsh_table", "lsh_bucket"], ["vector"], digits=digits)
-    once = found.groupBy("question_id", "repo_id", "id").agg(F.max("score").alias("score"))
-    return _merge(once, questions)
+    once = found.groupBy("question_id", "fetch_k", "repo_id", "id").agg(F.max("score").alias("score"))
+    return _merge(once)
