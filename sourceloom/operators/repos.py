@@ -136,9 +136,18 @@ def ingest_summary(repos: DataFrame, chunked: DataFrame,
     partial aggregation give all three counts. ``is_valid`` tells which chunks can be stored.
     """
     stored = F.col("chunks") if is_valid is None else F.filter("chunks", is_valid)
-    counts = chunked.select(
-        "repo_id", F.size("chunks").alias("n"), F.size(stored).alias("stored"),
-    ).groupBy("repo_id").agg(
+    per_file = chunked.select("repo_id", F.size("chunks").alias("n"), F.size(stored).alias("stored"))
+    return _summary(repos, per_file)
+
+
+def stored_summary(repos: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same summary from stored chunk rows (every eligible file has at least one chunk)."""
+    n = F.count(F.lit(1))
+    return _summary(repos, rows.groupBy("repo_id", "file_path").agg(n.alias("n"), n.alias("stored")))
+
+
+def _summary(repos: DataFrame, per_file: DataFrame) -> DataFrame:
+    counts = per_file.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("n").alias("chunk_count"),
         F.sum("stored").alias("vectors_upserted"))
     joined = repos.join(counts, "repo_id", "left")

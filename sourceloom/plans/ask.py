@@ -15,8 +15,13 @@ from sourceloom.operators.vectors import chunk_vectors, vector_metadata
 
 
 def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Ranked hits of every question in its repository."""
-    return search_sparse(chunk_vectors(chunks), with_question_vectors(questions, limits))
+    """Ranked hits of every question in its repository.
+
+    ``chunks`` may be stored rows with their vectors; without vectors they are made here.
+    """
+    vectors = chunks if "buckets" in chunks.columns else chunk_vectors(chunks)
+    columns = ["id", "repo_id", "buckets", "tfs", "norm2"]
+    return search_sparse(vectors.select(*columns), with_question_vectors(questions, limits))
 
 
 def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:

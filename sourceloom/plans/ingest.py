@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators.chunks import explode_chunks, with_chunks
 from sourceloom.operators.files import eligible_files
-from sourceloom.operators.repos import ingest_summary
 from sourceloom.operators.vectors import chunk_text, sparse_vectors
 
 
-def can_be_stored(chunk: Column) -> Column:
-    """A chunk without any token has no vector."""
-    return chunk["token_count"] > 0
-
-
 def chunk_repositories(files: DataFrame, limits: Limits = DEFAULTS, **options) -> DataFrame:
     """Eligible files of all repositories, each with its array of chunks."""
     return with_chunks(eligible_files(files, limits, **options), limits)
@@ -31,9 +24,7 @@ def vector_rows(chunks: DataFrame) -> DataFrame:
     return sparse_vectors(chunks, chunk_text(), chunks.columns)
 
 
-def ingest(repos: DataFrame, files: DataFrame, limits: Limits = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Chunk rows to store, and the summary per repository of ``repos``."""
+def job_rows(repos: DataFrame, files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Rows to store for the repositories of ``repos``: chunks with their vectors."""
     wanted = files.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
-    chunked = chunk_repositories(wanted, limits)
-    rows = explode_chunks(chunked).where(F.col("token_count") > 0)
-    return rows, ingest_summary(repos, chunked, can_be_stored)
+    return vector_rows(chunk_rows(wanted, limits))

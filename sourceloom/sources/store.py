@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.operators.repos import upsert
+from sourceloom.sources.staging import staged
 
 TOMBSTONE = "repo_id string, seq bigint"
 
@@ -46,6 +47,7 @@ def upsert_store(spark: SparkSession, incoming: DataFrame, store: str) -> None:
     replacement is staged, so the old files stay readable until the job commits, and a lost
     executor only repeats its tasks. Running the same merge again changes nothing.
     """
+    incoming = staged(incoming)     # read three times below: keys, rows, repositories
     live = read_store(spark, store)
     if live is None:
         merged = upsert(incoming.limit(0), incoming)

@@ -16,10 +16,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from sourceloom.limits import DEFAULTS, Limits
-from sourceloom.operators.repos import decode_jobs, repo_latest, summary_events
-from sourceloom.plans.ingest import ingest
+from sourceloom.operators.repos import decode_jobs, repo_latest, stored_summary, summary_events
+from sourceloom.plans.ingest import job_rows
 from sourceloom.session import checkpoint_dir
-from sourceloom.sources.store import upsert_store
+from sourceloom.sources.staging import staged
+from sourceloom.sources.store import read_store, upsert_store
 
 log = logging.getLogger(__name__)
 
@@ -57,17 +58,21 @@ def run_jobs(jobs: DataFrame, files: DataFrame, store: str, events: str,
              name: str = "ingest_jobs") -> StreamingQuery:
     """Ingest the repositories of a job stream from the table ``files`` into ``store``.
 
-    Life-cycle events go to ``events`` and to ``on_status``, whose errors never fail a job.
+    Life-cycle events go to ``events`` and to ``on_status``, whose errors never fail a job. ``name``
+    identifies the stream below the shared checkpoint folder and must stay the same over restarts.
     """
     spark = jobs.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        seq = batch_id * 10
-        repos = batch.groupBy("repo_id").agg(
-            F.max_by("github_url", "arrived").alias("url"), F.max_by("branch", "arrived").alias("branch"))
-        rows, summary = ingest(repos, files, limits)
-        upsert_store(batch.sparkSession,
-                     rows.withColumn("seq", F.lit(seq).cast("bigint")), store)
+        session, seq = batch.sparkSession, batch_id * 10
+        repos = staged(batch.groupBy("repo_id").agg(
+            F.max_by("github_url", "arrived").alias("url"),
+            F.max_by("branch", "arrived").alias("branch")), checkpoint)
+        rows = job_rows(repos, files, limits).withColumn("seq", F.lit(seq).cast("bigint"))
+        upsert_store(session, rows, store)
+        live = read_store(session, store).where(F.col("seq") == seq).select("repo_id", "file_path")
+        written = live.join(repos.select("repo_id"), "repo_id", "left_semi")
+        summary = stored_summary(repos, written)
         out = f"{events}/batch={batch_id}"
         queued = repos.select(
             "repo_id", F.lit(seq).cast("bigint").alias("seq"), F.lit("queued").alias("status"),
@@ -77,7 +82,7 @@ def run_jobs(jobs: DataFrame, files: DataFrame, store: str, events: str,
         all_events.withColumn("ts", F.current_timestamp()).write.mode("overwrite").parquet(out)
         if on_status is not None:
             try:
-                on_status(batch.sparkSession.read.parquet(out))
+                on_status(session.read.parquet(out))
             except Exception:  # noqa: BLE001 - a status hook must not fail the job
                 log.warning("status hook failed for batch %s", batch_id, exc_info=True)
 

@@ -11,6 +11,7 @@ from sourceloom.functions import rules, text
 from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators import chunks, files, quality, repos, retrieve, search, traces, vectors
 from sourceloom.plans import ask, ingest
+from sourceloom.sources.staging import staged
 from suite import corpus, fixed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +131,11 @@ def _chunks(spark, sf_dir, limits=DEFAULTS):
     return chunks.fallback_chunks(corpus.plain_files(spark, sf_dir), limits)
 
 
+def _store(spark, sf_dir, limits=DEFAULTS):
+    """Chunks with their vectors, written once: a search reads them for counts, scores and metadata."""
+    return staged(ingest.vector_rows(_chunks(spark, sf_dir, limits)))
+
+
 @query
 def sparse_features(spark, sf_dir):
     return vectors.sparse_features(vectors.chunk_vectors(_chunks(spark, sf_dir)))
@@ -142,7 +148,7 @@ def index_stats(spark, sf_dir):
 
 @query
 def search_sparse(spark, sf_dir):
-    return ask.find_hits(_chunks(spark, sf_dir), corpus.questions(spark, sf_dir))
+    return ask.find_hits(_store(spark, sf_dir), corpus.questions(spark, sf_dir))
 
 
 def _dense_hits(spark, sf_dir, search_fn, **options):
@@ -163,7 +169,7 @@ def search_lsh(spark, sf_dir):
 
 @query
 def overlap_dedup(spark, sf_dir):
-    rows = _chunks(spark, sf_dir, SMALL_WINDOWS)
+    rows = _store(spark, sf_dir, SMALL_WINDOWS)
     hits = ask.find_hits(rows, corpus.questions(spark, sf_dir))
     kept = retrieve.overlap_dedup(retrieve.hits_with_metadata(hits, vectors.vector_metadata(rows)))
     return kept.select("question_id", "rank", "id", "score", "file_path", "start_line", "end_line")
@@ -171,13 +177,13 @@ def overlap_dedup(spark, sf_dir):
 
 @query
 def rag_sources(spark, sf_dir):
-    return ask.answer_sources(_chunks(spark, sf_dir), corpus.questions(spark, sf_dir))
+    return ask.answer_sources(_store(spark, sf_dir), corpus.questions(spark, sf_dir))
 
 
 @query
 def prompts(spark, sf_dir):
     repo_rows = repos.repo_latest(corpus.repo_events(spark, sf_dir, 25))
-    rows = ask.question_prompts(_chunks(spark, sf_dir), corpus.questions(spark, sf_dir), repo_rows)
+    rows = ask.question_prompts(_store(spark, sf_dir), corpus.questions(spark, sf_dir), repo_rows)
     return rows.select("question_id", "repo_id", "source_count",
                        F.get("messages", F.lit(0))["content"].alias("system"),
                        F.get("messages", F.lit(1))["content"].alias("message"))
@@ -187,7 +193,7 @@ def prompts(spark, sf_dir):
 def query_gate(spark, sf_dir):
     repo_rows = repos.repo_latest(corpus.repo_events(spark, sf_dir, 25))
     questions = corpus.gate_questions(spark, sf_dir)
-    hits = ask.find_hits(_chunks(spark, sf_dir), questions.withColumn(
+    hits = ask.find_hits(_store(spark, sf_dir), questions.withColumn(
         "top_k", F.coalesce("top_k", F.lit(DEFAULTS.default_top_k))))
     return retrieve.query_gate(questions, repo_rows, hits)
 
