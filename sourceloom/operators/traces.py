@@ -58,6 +58,11 @@ def score_rows(scores: DataFrame, trace_id: str = "trace_id", values: str = "sco
         trace_id, "name", "value", F.concat(F.lit(SCORE_PREFIX), F.col("name")).alias("comment"))
 
 
+def scored_traces(traces: DataFrame, scores: DataFrame) -> DataFrame:
+    """Traces with their score rows; a trace without scores gives no row."""
+    return traces.join(scores, "trace_id")
+
+
 def usage_by_model(traces: DataFrame) -> DataFrame:
     """Requests, tokens and latency per model.
 

@@ -415,6 +415,11 @@ SCORES = """score AS (
          CASE WHEN doc_id % 2 = 0 THEN n_chars END AS length
   FROM documents JOIN labels USING (doc_id))"""
 
+SCORE_ROWS = """score_row AS (
+  SELECT 't' || doc_id AS trace_id, name, value, 'RAGAS ' || name AS comment FROM (
+    SELECT doc_id, 'quality' AS name, quality::DOUBLE AS value FROM labels
+    UNION ALL SELECT doc_id, 'toxic', toxic::DOUBLE FROM labels))"""
+
 HOST = "regexp_extract(url, '^https?://([^/]+)/', 1)"
 ADDRESSES = f"""address AS (
   SELECT page_id, CASE page_id % 7 WHEN 0 THEN base WHEN 1 THEN base || '/' WHEN 2 THEN base || '.git'
@@ -584,10 +589,10 @@ def sql() -> dict[str, str]:
             FROM (SELECT {lookup(fixed.MODEL_OF, 'event_type')} AS model, floor(value * 10)::BIGINT AS ms,
                          json_extract_string(props, '$.k')::BIGINT AS k, event_id % 97 AS o FROM events)
             GROUP BY model""",
-        "score_rows": """
-            SELECT 't' || doc_id AS trace_id, name, value, 'RAGAS ' || name AS comment FROM (
-              SELECT doc_id, 'quality' AS name, quality::DOUBLE AS value FROM labels
-              UNION ALL SELECT doc_id, 'toxic', toxic::DOUBLE FROM labels)""",
+        "score_rows": with_(SCORE_ROWS, select="SELECT * FROM score_row"),
+        "trace_scores": with_(TURNS, SCORE_ROWS, select="""
+            SELECT trace_id, conv_id, turn, name, value, comment FROM score_row
+            JOIN (SELECT *, 't' || question_id AS trace_id FROM turn_pair) USING (trace_id)"""),
         "context_precision": with_(CENTROIDS, DENSE, """running AS (
             SELECT question_id, rank, v, sum(v) OVER (PARTITION BY question_id ORDER BY rank) AS so_far
             FROM (SELECT question_id, rank, (label = wanted)::INTEGER AS v FROM hit))""", select="""

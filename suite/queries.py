@@ -310,8 +310,7 @@ def usage_by_model(spark, sf_dir):
     return traces.usage_by_model(rows)
 
 
-@query
-def score_rows(spark, sf_dir):
+def _score_rows(spark, sf_dir):
     labels = corpus.table(spark, sf_dir, "labels")
     values = F.create_map(F.lit("quality"), F.col("quality").cast("double"),
                           F.lit("toxic"), F.col("toxic").cast("double"))
@@ -320,6 +319,19 @@ def score_rows(spark, sf_dir):
     return traces.score_rows(scores)
 
 
+@query
+def score_rows(spark, sf_dir):
+    return _score_rows(spark, sf_dir)
+
+
+@query
+def trace_scores(spark, sf_dir):
+    turn = F.col("question_id")
+    asked = corpus.turns(spark, sf_dir).select(
+        F.concat(F.lit("t"), turn.cast("string")).alias("trace_id"), "conv_id", "turn")
+    return traces.scored_traces(asked, _score_rows(spark, sf_dir))
+
+
 # Quality -------------------------------------------------------------------------------------
 
 @query
