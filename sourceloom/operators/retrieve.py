@@ -23,6 +23,8 @@ Rules:
 NO_CONTEXT = "(No relevant code context found)"
 CLOSING = "Please answer the question using the code context above. Cite sources for all specific claims."
 
+MAX_BROADCAST_HITS = 500_000    # rows of ids and numbers, some tens of megabytes
+
 SOURCE_FIELDS = ["file_path", "node_type", "node_name", "start_line", "end_line", "language",
                  "content", "score"]
 
@@ -60,8 +62,17 @@ def overlap_dedup(hits: DataFrame) -> DataFrame:
         "question_id", (F.col("_pos") + 1).alias("rank"), *[f"_h.{c}" for c in carried])
 
 
-def hits_with_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Attach stored metadata by chunk id. Hits are few; the plan is left to runtime statistics."""
+def hits_with_metadata(hits: DataFrame, metadata: DataFrame, questions: DataFrame,
+                       limits: Limits = DEFAULTS) -> DataFrame:
+    """Attach stored metadata by chunk id.
+
+    A question has at most ``max_top_k`` hits. While the questions are few enough for that bound to
+    fit in memory, the hits are broadcast, so stored contents are filtered where they are read;
+    beyond it both sides shuffle by chunk id.
+    """
+    most = MAX_BROADCAST_HITS // limits.max_top_k
+    if questions.select("question_id").limit(most + 1).count() <= most:
+        hits = F.broadcast(hits)
     return hits.join(metadata, ["repo_id", "id"])
 
 

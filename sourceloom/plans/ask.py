@@ -26,7 +26,8 @@ def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS
 
 def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Sources of every question: search, metadata, overlap removal, trim to ``top_k``."""
-    hits = hits_with_metadata(find_hits(chunks, questions, limits), vector_metadata(chunks, limits))
+    hits = hits_with_metadata(find_hits(chunks, questions, limits), vector_metadata(chunks, limits),
+                              questions, limits)
     return rag_sources(hits, questions)
 
 

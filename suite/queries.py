@@ -169,9 +169,10 @@ def search_lsh(spark, sf_dir):
 
 @query
 def overlap_dedup(spark, sf_dir):
-    rows = _store(spark, sf_dir, SMALL_WINDOWS)
-    hits = ask.find_hits(rows, corpus.questions(spark, sf_dir))
-    kept = retrieve.overlap_dedup(retrieve.hits_with_metadata(hits, vectors.vector_metadata(rows)))
+    rows, questions = _store(spark, sf_dir, SMALL_WINDOWS), corpus.questions(spark, sf_dir)
+    hits = ask.find_hits(rows, questions)
+    kept = retrieve.overlap_dedup(
+        retrieve.hits_with_metadata(hits, vectors.vector_metadata(rows), questions))
     return kept.select("question_id", "rank", "id", "score", "file_path", "start_line", "end_line")
 
 

@@ -93,3 +93,16 @@ def test_traces(spark):
     assert row.generation_input == "Q: q\nContext: " + ("x" * 300 + "\n\n" + "y" * 300)[:500] + "..."
     assert row.tags == ["query", "alpha"] and row.chunks_retrieved == 4
     assert (row.usage.input, row.usage.output, row.usage.total) == (0, 2, 3)
+
+
+def test_hits_join_with_and_without_broadcast(spark, monkeypatch):
+    hits = spark.createDataFrame([(1, "r", 1, 0.5, "a")],
+                                 "question_id int, repo_id string, rank int, score double, id string")
+    metadata = spark.createDataFrame([("r", "a", "x"), ("s", "a", "y"), ("r", "b", "z")],
+                                     "repo_id string, id string, content string")
+    questions = spark.createDataFrame([(1,)], "question_id int")
+    few = retrieve.hits_with_metadata(hits, metadata, questions)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieve, "MAX_BROADCAST_HITS", 0)
+    many = retrieve.hits_with_metadata(hits, metadata, questions)
+    assert few.collect() == many.collect() and few.first().content == "x"
