@@ -25,8 +25,6 @@ from sourceloom.limits import DEFAULTS, Limits
 UNIT = ("struct<start_line:int,neg_end:int,unit:string,indent:int,depth:int,head:int>")
 CHUNK = ("struct<start_line:int,end_line:int,unit:string,head:string,content:string,"
          "context_header:string,token_count:int>")
-CHUNK_COLUMNS = ["id", "repo_id", "file_path", "language", "node_type", "node_name", "start_line",
-                 "end_line", "content", "context_header", "token_count"]
 
 
 def _empty(element: str) -> Column:
@@ -97,8 +95,8 @@ def _fold_units(marks: Column, language: Column) -> Column:
     no_deco = F.expr("named_struct('start', cast(null as int), 'indent', cast(null as int))")
 
     def step(state: Column, m: Column) -> Column:
-        is_open = lambda o: o["indent"] < m["indent"]
-        still = F.when(m["continued"], state["open"]).otherwise(F.filter(state["open"], is_open))
+        outside = F.filter(state["open"], lambda o: o["indent"] < m["indent"])
+        still = F.when(m["continued"], state["open"]).otherwise(outside)
         ended = F.filter(state["open"], lambda o: o["indent"] >= m["indent"])
         closed = F.when(m["continued"], _empty(UNIT)).otherwise(F.transform(
             ended,

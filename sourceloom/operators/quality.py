@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sourceloom.functions.text import as_column, words
+from sourceloom.functions.text import words
 from sourceloom.functions.vector import features, sparse_cosine
 
-METRICS = ["answer_relevancy", "context_precision", "context_recall", "faithfulness"]
 FAILED_ANSWER = "ERROR"  # fixed value
 
 

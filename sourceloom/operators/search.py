@@ -19,7 +19,7 @@ from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators.ranking import top_per_key
 
 VECTOR_BLOCK = 4_096     # vectors scored at once
-QUESTION_BLOCK = 512     # questions scored at once
+QUESTION_BLOCK = 2_048   # questions scored at once; vectors repeat once per question block
 MAX_BROADCAST_KEYS = 200_000   # rows of (key, two counts) that are broadcast: a few megabytes
 HIT = "question_id {question_id}, fetch_k {fetch_k}, repo_id {repo_id}, id {id}, score double"
 

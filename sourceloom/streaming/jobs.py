@@ -68,6 +68,8 @@ def run_jobs(jobs: DataFrame, files: DataFrame, store: str, events: str,
         repos = staged(batch.groupBy("repo_id").agg(
             F.max_by("github_url", "arrived").alias("url"),
             F.max_by("branch", "arrived").alias("branch")), checkpoint)
+        if repos.isEmpty():
+            return
         rows = job_rows(repos, files, limits).withColumn("seq", F.lit(seq).cast("bigint"))
         upsert_store(session, rows, store)
         live = read_store(session, store).where(F.col("seq") == seq).select("repo_id", "file_path")

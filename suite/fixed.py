@@ -6,12 +6,6 @@ DIRS = ["src", "lib/core", "src/node_modules/x", ".hidden", "app", "docs/build",
 SUFFIXES = [".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".cpp", ".c", ".rb", ".PY",
             ".txt"]
 
-# Unit types to classify.
-UNIT_TYPES = ["class_definition", "function_definition", "struct_item", "impl_item", "trait_item",
-              "arrow_function", "constructor_declaration", "interface_declaration",
-              "type_alias_declaration", "enum_item", "decorated_definition", "mod_item",
-              "method_declaration", "namespace_definition"]
-
 # Line templates of source files made from documents. {n} is the line number and {t}
 # the line of the document.
 TEMPLATES = {

@@ -485,8 +485,9 @@ def sql() -> dict[str, str]:
         "token_counts": f"SELECT doc_id, ({token_count('text')})::INTEGER AS token_count FROM documents",
         "chunk_ids": with_(FILES, select=(
             f"SELECT doc_id, {chunk_id('repo_id', 'path', '(size % 97 + 1)')} AS id FROM files")),
-        "classify_nodes": (f"SELECT *, {_classify('unit_type')} AS node_type FROM (SELECT doc_id, "
-                           f"{pick(fixed.UNIT_TYPES, 'doc_id')} AS unit_type FROM documents)"),
+        "classify_nodes": with_(CODE, UNITS, select=f"""
+            SELECT repo_id, path, start_line::INTEGER AS start_line, unit AS boundary_type,
+                   {_classify('unit')} AS node_type FROM block WHERE {IS_BOUNDARY}"""),
         "line_windows": with_(FILES, fallback("files", "chunks", SMALL_WINDOWS),
                               select=f"SELECT {COLUMNS} FROM chunks"),
         "fallback_chunks": with_(CHUNKS, select=f"SELECT {COLUMNS} FROM chunks"),

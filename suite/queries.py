@@ -77,10 +77,9 @@ def chunk_ids(spark, sf_dir):
 
 @query
 def classify_nodes(spark, sf_dir):
-    docs = corpus.table(spark, sf_dir, "documents")
-    unit = corpus.pick(fixed.UNIT_TYPES, F.col("doc_id"))
-    return docs.select("doc_id", unit.alias("unit_type")).withColumn(
-        "node_type", rules.classify("unit_type"))
+    units = chunks.code_blocks(corpus.code_files(spark, sf_dir))
+    return units.select("repo_id", "path", "start_line", "boundary_type",
+                        rules.classify("boundary_type").alias("node_type"))
 
 
 @query
