@@ -157,18 +157,19 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram
                      length: int) -> DataFrame:
     """(rid, lo, hi): inclusive ranges of window starts that repeat. ``docs`` has rid and text.
 
-    ``docs`` should be an exchange on rid (as ``covered`` makes it), which both text joins then reuse.
+    The anchor scans read ``docs`` where it lies; only the texts of the edges move, by rid.
     """
-    spark = docs.sparkSession
     scan, schema = _occurrences(symbols, gram, length)
     found = docs.select("rid", "text").mapInArrow(scan, schema)
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("anchor")
+    # Written on its own, so that the next join reads two plain exchanges and Spark can split a hot anchor.
+    twice = shared.cut(
+        found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("anchor"))
     found = shared.cut(found.join(twice, "anchor", "left_semi"))
 
     kinds = found.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "windows")).alias("first"))
     kinds = shared.cut(kinds)
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = shared.cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     whole = kinds.where("n > 1").select(
         "anchor", "context", F.lit(0).cast("long").alias("lo"), (F.col("first.windows") - 1).alias("hi"))
 
@@ -201,9 +202,8 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram
 def covered(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram: int, length: int,
             id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(rid, doc_id, text, lo array, hi array) for every row of ``docs``; null arrays: nothing repeats."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")) \
-        .select(shared.row_key().alias("rid"), "doc_id", "text").repartition(shared.parts(spark), "rid")
+        .select(shared.row_key().alias("rid"), "doc_id", "text")
     spans = repeated_windows(docs, symbols, resolver, gram, length).groupBy("rid").agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     return docs.join(spans, "rid", "left")
