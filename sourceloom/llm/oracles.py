@@ -2,6 +2,42 @@
 
 from __future__ import annotations
 
+from sourceloom.llm.quality_rules import RULES, STOP_WORDS
+
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _without(text: str, pattern: str) -> str:
+    return f"length(regexp_replace({text}, '{pattern}', '', 'g'))"
+
+
+def _quality() -> str:
+    checks = ["NOT base_failed"]
+    for rule in RULES:
+        if rule.low is not None:
+            checks.append(f"1000 * {rule.part} >= {rule.low} * {rule.whole}")
+        if rule.high is not None:
+            checks.append(f"1000 * {rule.part} <= {rule.high} * {rule.whole}")
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS words,
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines FROM d),
+g AS (SELECT k, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
+c AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n
+      FROM g),
+r AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY k),
+m AS (SELECT doc_id, len(words) AS n_words, {_without("t", SPACE)} AS word_chars,
+        length(t) - {_without("t", r"[#*$%&|<>]")} AS n_symbols, len(lines) AS n_lines,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+        length(t) - {_without("t", "[A-Z]")} AS n_upper, length(t) - {_without("t", "[A-Za-z]")} AS n_letters,
+        len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop_words
+      FROM w LEFT JOIN r USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  {" AND ".join(checks)} AS kept FROM b"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": _quality()}

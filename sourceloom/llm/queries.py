@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceloom.llm import bwt_merge, shared, suffix_tree
+from sourceloom.llm import bwt_merge, quality_rules, shared, suffix_tree, wu_manber
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -16,12 +16,26 @@ def query(fn):
     return fn
 
 
+@query
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.apply_rules(shared.documents(spark, sf_dir)).select(
+        "doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                             "base_failed", "kept")])
+
+
 @query
 def op5_suffix_tree_dedup(spark, sf_dir):
     return suffix_tree.remove_repeats(shared.documents(spark, sf_dir), length=35).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op9_wu_manber(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return wu_manber.contamination(shared.documents(spark, sf_dir), benchmark).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query
 def op10_bwt_merge_dedup(spark, sf_dir):
     return bwt_merge.remove_repeats(shared.documents(spark, sf_dir), length=200).select(

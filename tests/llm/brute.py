@@ -44,3 +44,29 @@ def byte_repeats(rows, length):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((doc_id, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def contamination(rows, items, length=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def tokens(text):
+        return word.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+    windows = {}
+    for item, text in items:
+        t = tokens(text)
+        size = min(length, len(t))
+        for i in range(len(t) - size + 1 if size else 0):
+            windows.setdefault(tuple(t[i:i + size]), set()).add("" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in rows:
+        t, hit, found = tokens(text), set(), set()
+        for size in sizes:
+            for i in range(len(t) - size + 1):
+                if tuple(t[i:i + size]) in windows:
+                    hit.update(range(i, i + size))
+                    found |= windows[tuple(t[i:i + size])]
+        out.append((doc_id, len(t), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
+                    bool(hit)))
+    return out
