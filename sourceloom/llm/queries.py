@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sourceloom.llm import bwt_merge, quality_rules, shared, suffix_tree, wu_manber
+from sourceloom.llm import bwt_merge, flow_shards, merkle, packing, quality_rules, shared, suffix_tree, wu_manber
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -16,6 +18,34 @@ def query(fn):
     return fn
 
 
+@query
+def op1_flow_reshard(spark, sf_dir):
+    docs = shared.documents(spark, sf_dir)
+    # The old layout keeps the documents of a source together, in 16 shards.
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(16)).cast("int")
+    return flow_shards.reshard(docs, old, [1] * 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def damaged(pages):
+    """The second replica: about one page in 256 with a changed character, and one in 512 cut in half."""
+    key = F.col("page_id").cast("string")
+    html = F.coalesce("html", F.lit(""))
+    half = F.floor(F.length(html) / 2).cast("int")
+    changed = F.concat(F.substring(html, F.lit(1), half), F.lit("~"), F.substring(html, half + 2, F.length(html)))
+    return pages.withColumn("html", F.when(merkle.digest_number(key, 9, 4, 256) == 7, changed)
+                            .when(merkle.digest_number(key, 13, 4, 512) == 9, F.substring(html, F.lit(1), half))
+                            .otherwise(html))
+
+
+@query
+def op3_merkle_audit(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    files = merkle.file_count(pages)
+    return merkle.audit(merkle.leaves(pages, files), merkle.leaves(damaged(pages), files))
+
+
 @query
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(shared.documents(spark, sf_dir)).select(
@@ -29,6 +59,12 @@ def op5_suffix_tree_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op7_retrieval_packing(spark, sf_dir):
+    return packing.pack(shared.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 4096).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @query
 def op9_wu_manber(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
