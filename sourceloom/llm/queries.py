@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import bwt_merge, flow_shards, merkle, packing, quality_rules, shared, suffix_tree, wu_manber
+from sourceloom.llm import bwt_merge, flow_shards, jaccard_join, merkle, packing, quality_rules, shared, suffix_tree, wu_manber
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +28,12 @@ def op1_flow_reshard(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(shared.documents(spark, sf_dir), k=3, percent=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def damaged(pages):
     """The second replica: about one page in 256 with a changed character, and one in 512 cut in half."""
     key = F.col("page_id").cast("string")

@@ -70,3 +70,35 @@ def contamination(rows, items, length=10):
         out.append((doc_id, len(t), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
                     bool(hit)))
     return out
+
+
+def shingle_set(text, k):
+    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i:i + k]) for i in range(max(len(w) - k + 1, 1)))
+
+
+def similar(rows, k, percent):
+    """(doc_id, set size, smallest linked doc_id); distinct ids without nulls."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    shared = Counter((a, b) for h in holders.values() for n, b in enumerate(h) for a in h[:n])
+    for (a, b), both in shared.items():
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    low = {}
+    for i, (doc_id, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), doc_id), doc_id)
+    return [(doc_id, len(s), low[find(i)]) for i, ((doc_id, _), s) in enumerate(zip(rows, sets))]
