@@ -123,12 +123,22 @@ def base_failed(measures: Column) -> Column:
     return (measures["n_words"] < 50) | (100 * measures["n_repeat_words"] > 50 * measures["n_words"])
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``quality``: a struct of the measures, base_failed and kept."""
+def assess(text: Column | str = "text", rules: list[Rule] | None = None) -> Column:
+    """A struct of the measures, base_failed and kept."""
     rules = RULES if rules is None else rules
 
     def of(m: Column) -> Column:
         return F.struct(*[m[name].alias(name) for name in MEASURES], base_failed(m).alias("base_failed"),
                         (~base_failed(m) & verdict(m, rules)).alias("kept"))
 
-    return docs.withColumn("quality", let(metrics(text_column), of))
+    return let(metrics(text), of)
+
+
+def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_column: str = "text") -> DataFrame:
+    """``docs`` with ``quality``: see ``assess``."""
+    return docs.withColumn("quality", assess(text_column, rules))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text_column: str = "text") -> DataFrame:
+    """The rows that pass, with their columns."""
+    return docs.where(assess(text_column, rules)["kept"])

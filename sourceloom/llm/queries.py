@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import bwt_merge, flow_shards, jaccard_join, merkle, packing, quality_rules, shared, suffix_tree, wu_manber
+from sourceloom.llm import bwt_merge, flow_shards, jaccard_join, merkle, packing, quality_rules, shared, subword, suffix_tree, wu_manber
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,12 +65,35 @@ def op5_suffix_tree_dedup(spark, sf_dir):
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+TOXICITY = subword.Settings(segment=6, separators=" \t\n\x0b\f\r.,;:!?\"()", longest=4, epochs=2)
+QUALITY = subword.Settings(fold_case=False, markers=True, epochs=3)
+
+
+def _classified(spark, sf_dir, label, settings, modulus, remainder, threshold):
+    docs = shared.documents(spark, sf_dir)
+    held_out = subword.in_fold("doc_id", modulus, remainder)
+    texts, labels, _ = subword.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label, held_out)
+    model = subword.train(texts, labels, settings)
+    return subword.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return _classified(spark, sf_dir, "toxic", TOXICITY, 3, 1, 0.7)
+
+
 @query
 def op7_retrieval_packing(spark, sf_dir):
     return packing.pack(shared.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 4096).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op8_quality_classifier(spark, sf_dir):
+    return _classified(spark, sf_dir, "quality", QUALITY, 5, 0, 0.3)
+
+
 @query
 def op9_wu_manber(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -200,10 +200,14 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram
 
 
 def covered(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram: int, length: int,
-            id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(rid, doc_id, text, lo array, hi array) for every row of ``docs``; null arrays: nothing repeats."""
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")) \
-        .select(shared.row_key().alias("rid"), "doc_id", "text")
+            id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
+    """(rid, doc_id, text, lo array, hi array) for every row of ``docs``; null arrays: nothing repeats.
+
+    With ``carry`` also ``rest``, a struct of all columns but the text.
+    """
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("rest")] if carry else []
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *rest)
+    docs = docs.select(shared.row_key().alias("rid"), *docs.columns)
     spans = repeated_windows(docs, symbols, resolver, gram, length).groupBy("rid").agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     return docs.join(spans, "rid", "left")

@@ -89,13 +89,7 @@ def resolve(length: int, limit: int = TREE_SUFFIXES):
     return resolver
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, id_column: str = "doc_id",
-                   text_column: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, text, kept_sha256): ``text`` is the kept words joined by one blank."""
-    found = repeats.covered(docs, repeats.word_symbols, resolve(length), min(GRAM, length), length,
-                            id_column, text_column)
-    id_type = found.schema["doc_id"].dataType.simpleString()
-
+def _apply(length: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo, hi = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -110,9 +104,34 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_column: str = "doc_id",
                     out.append((last - first, last - first - len(at), text, hashlib.sha256(text).hexdigest()))
                 n_words, n_removed, text, digest = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows.start:rows.stop], pa.array(n_words, pa.int64()),
-                     pa.array(n_removed, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()),
-                     pa.array(digest)], ["doc_id", "n_words", "n_removed", "text", "kept_sha256"])
+                    [batch.column(0)[rows.start:rows.stop], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                     pa.array(text, pa.binary()).cast(pa.string()), pa.array(digest),
+                     *(c[rows.start:rows.stop] for c in batch.columns[4:])],
+                    ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", *batch.schema.names[4:]])
+
+    return apply
+
 
-    return found.select("doc_id", "text", "lo", "hi").mapInArrow(
-        apply, f"doc_id {id_type}, n_words long, n_removed long, text string, kept_sha256 string")
+def remove_repeats(docs: DataFrame, length: int = 35, id_column: str = "doc_id", text_column: str = "text",
+                   carry: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, kept_sha256): ``kept_text`` is the kept words joined by one blank.
+
+    With ``carry`` also the ``text`` as it was and ``rest``, a struct of the other columns.
+    """
+    found = repeats.covered(docs, repeats.word_symbols, resolve(length), min(GRAM, length), length,
+                            id_column, text_column, carry)
+    schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, " \
+             "kept_text string, kept_sha256 string"
+    columns = [F.col(c) for c in ("doc_id", "text", "lo", "hi")]
+    if carry:
+        columns += [F.col("text").alias("was"), F.col("rest")]
+        schema += f", was string, rest {found.schema['rest'].dataType.simpleString()}"
+    return found.select(*columns).mapInArrow(_apply(length), schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 35, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with shortened texts and their columns. A text without repeats stays as it is, blanks and lines
+    included; a document of which nothing is left goes."""
+    done = remove_repeats(docs, length, id_column, text_column, carry=True).where("n_removed < n_words or n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("was"))
+    return done.select(*[text.alias(c) if c == text_column else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

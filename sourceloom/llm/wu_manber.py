@@ -164,3 +164,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     return hits(docs, benchmark, window).select(
         "rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id",
+               text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any test passage, with their columns."""
+    found = contamination(docs, benchmark, window, id_column, text_column)
+    flagged = shared.cut(found.where("contaminated").select(F.col("rid").alias("_key")).distinct())
+    return docs.withColumn("_key", shared.row_key(id_column, text_column)).join(flagged, "_key", "left_anti") \
+        .select(*docs.columns)
