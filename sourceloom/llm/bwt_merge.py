@@ -144,7 +144,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id"
                    text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256): ``kept`` is the rest, as bytes."""
     block = next(b for b in range(min(BLOCK, length), 0, -1) if length % b == 0)
-    found = repeats.covered(docs, repeats.byte_symbols, resolve(length, block), min(GRAM, length), length,
+    found = repeats.covered(docs, repeats.ByteSymbols(), resolve(length, block), min(GRAM, length), length,
                             id_column, text_column)
     id_type = found.schema["doc_id"].dataType.simpleString()
 

@@ -35,19 +35,40 @@ GROUP_CONTEXTS = 2048      # contexts a resolver gets at once, and from which an
 _U = np.uint64
 _HIGH = _U(0xFFFFFFFF00000000)
 
-# symbols(bytes, offsets) -> (64-bit value of each symbol, first symbol of each row)
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 # resolver(values, context offsets, windows per context, weight per context) -> (windows that repeat)
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words = arrays.Words(data, offsets)
-    return words.hashes, words.rows
+class WordSymbols:
+    """A symbol is a word; it travels as its 64-bit hash."""
 
+    def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit value of each symbol, first symbol of each row)."""
+        words = arrays.Words(data, offsets)
+        return words.hashes, words.rows
 
-def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return arrays.BYTE_VALUES[data], offsets
+    def pack(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """What travels of each symbol."""
+        return values
+
+    def unpack(self, raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, _U)
+
+
+class ByteSymbols:
+    """A symbol is a byte and travels as itself."""
+
+    def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return arrays.BYTE_VALUES[data], offsets
+
+    def pack(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return data
+
+    def unpack(self, raw: bytes) -> np.ndarray:
+        return arrays.BYTE_VALUES[np.frombuffer(raw, np.uint8)]
+
+
+Symbols = WordSymbols | ByteSymbols
 
 
 def contexts(values: np.ndarray, bounds: np.ndarray, gram: int, length: int):
@@ -81,7 +102,7 @@ def _occurrences(symbols: Symbols, gram: int, length: int):
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
             for rows, data, offsets in arrays.slices(batch):
-                row, start, count, anchor, context = contexts(*symbols(data, offsets), gram, length)
+                row, start, count, anchor, context = contexts(*symbols.read(data, offsets), gram, length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (anchor.view(np.int64), context.view(np.int64), rid[rows][row],
                                            start, count)], schema=schema)
@@ -101,7 +122,8 @@ def _extract(symbols: Symbols, length: int):
             for rows, data, offsets in arrays.slices(batch):
                 if not any(wanted[rows]):
                     continue
-                values, bounds = symbols(data, offsets)
+                values, bounds = symbols.read(data, offsets)
+                values = symbols.pack(data, values)
                 out = [(c["bucket"], c["split"], c["anchor"], c["context"], c["n"], c["windows"],
                         values[bounds[i] + c["start"]:bounds[i] + c["start"] + c["windows"] - 1 + length].tobytes())
                        for i, found in enumerate(wanted[rows]) for c in found or ()]
@@ -112,18 +134,20 @@ def _extract(symbols: Symbols, length: int):
                   "symbols binary")
 
 
-def _resolve(resolver: Resolver, length: int):
+def _resolve(symbols: Symbols, resolver: Resolver, length: int):
     """Ranges of repeated windows per context; for split anchors also the windows still open."""
     schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("lo", pa.int64()),
                         ("hi", pa.int64()), ("label", pa.int64()), ("weight", pa.int64())])
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        # Rows with equal id and text report a context twice.
+        _, once = np.unique(np.stack([table["anchor"].to_numpy(), table["context"].to_numpy()]), axis=1, return_index=True)
+        table = table.take(pa.array(once)).combine_chunks()
         windows = table["windows"].to_numpy()
         weight = table["n"].to_numpy()
         size = windows - 1 + length
         offsets = np.concatenate([[0], np.cumsum(size)])
-        values = np.frombuffer(b"".join(table["symbols"].to_pylist()), _U)
+        values = symbols.unpack(b"".join(table["symbols"].to_pylist()))
         repeated = resolver(values, offsets, windows, weight)
         anchor, context = table["anchor"].to_numpy(), table["context"].to_numpy()
         owner = np.repeat(np.arange(len(windows)), windows)
@@ -184,11 +208,10 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram
             split.alias("split"), "anchor", "context", "n", F.col("first.start").alias("start"),
             F.col("first.windows").alias("windows")).alias("c"))
     picked = picked.groupBy("rid").agg(F.collect_list("c").alias("wanted"))
-    # rid is unique per (id, text); equal rows would report a context twice, so one of them is enough.
     extract, schema = _extract(symbols, length)
     edges = docs.join(picked, "rid", "left").where("wanted is not null").select("rid", "wanted", "text") \
-        .mapInArrow(extract, schema).dropDuplicates(["anchor", "context"])
-    group, schema = _resolve(resolver, length)
+        .mapInArrow(extract, schema)
+    group, schema = _resolve(symbols, resolver, length)
     resolved = shared.cut(edges.groupBy("bucket").applyInArrow(group, schema))
     open_ = resolved.where("label is not null")
     met = open_.groupBy("label").agg(F.sum("weight").alias("total")).where("total > 1").select("label")

@@ -22,9 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder. A lost executor re-reads it; Spark drops it when unused."""
+    """Write ``df`` once to the shared folder. A lost executor re-reads it; Spark drops it when unused.
+
+    Shuffle files of the steps before go when the driver collects their plans; asking for that here keeps the
+    disk needed by a chain of steps at that of its largest.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

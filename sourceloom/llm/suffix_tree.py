@@ -118,7 +118,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_column: str = "doc_id",
 
     With ``carry`` also the ``text`` as it was and ``rest``, a struct of the other columns.
     """
-    found = repeats.covered(docs, repeats.word_symbols, resolve(length), min(GRAM, length), length,
+    found = repeats.covered(docs, repeats.WordSymbols(), resolve(length), min(GRAM, length), length,
                             id_column, text_column, carry)
     schema = f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, " \
              "kept_text string, kept_sha256 string"
