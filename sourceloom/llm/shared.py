@@ -21,16 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder. A lost executor re-reads it; Spark drops it when unused.
 
-    Shuffle files of the steps before go when the driver collects their plans; asking for that here keeps the
-    disk needed by a chain of steps at that of its largest.
+    The shuffle files of the step are not needed once it is written, so Spark is asked to free them then: a chain
+    of steps takes the disk of its largest.
     """
-    shared_dir(df.sparkSession)
-    done = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
