@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourceloom.operators.repos import upsert
 from sourceloom.sources.staging import staged
@@ -18,8 +19,11 @@ TOMBSTONE = "repo_id string, seq bigint"
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a folder. Ids in folder names stay text: ``007`` and ``1e5`` are not numbers."""
     try:
-        return spark.read.option("mergeSchema", "false").parquet(path)
+        found = spark.read.option("mergeSchema", "false").parquet(path)
+        fields = [T.StructField(f.name, T.StringType() if f.name == "repo_id" else f.dataType) for f in found.schema]
+        return spark.read.schema(T.StructType(fields)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -31,7 +35,6 @@ def read_store(spark: SparkSession, store: str) -> DataFrame | None:
     rows = _read(spark, f"{store}/chunks")
     if rows is None:
         return None
-    rows = rows.withColumn("repo_id", F.col("repo_id").cast("string"))
     deleted = _read(spark, f"{store}/deleted")
     if deleted is None:
         return rows
