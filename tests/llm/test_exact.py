@@ -181,6 +181,20 @@ def test_encoder_matches_tokenizer(text):
     assert encoder(text, 2).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_encoder_cuts_rows_like_the_tokenizer():
+    import random
+
+    encoder, draw = packing.Encoder(TOKENIZER), random.Random(3)
+    texts = ["".join(draw.choices("aB'|<>.,é\u0301 \n1ß…\"«Σ!", k=draw.randint(0, 90))) for _ in range(2000)]
+    texts += ["x" * 500 + "'s!a", "a<|endoftext|>b <|ENDOFTEXT|>", "", "don't it'sTime\u00a0x\x0by"]
+    for first in range(0, len(texts), 40):
+        part = texts[first:first + 40]
+        raw = [t.encode() for t in part]
+        ids, bounds = encoder.rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), 2)
+        for a, b, code in zip(bounds, bounds[1:], encoder.tokenizer.encode_batch(part, add_special_tokens=False)):
+            assert ids[a:b].tolist() == code.ids + [2]
+
+
 def test_packing_prefers_neighbours():
     a, b = np.arange(100, 140, dtype=np.uint32), np.arange(500, 540, dtype=np.uint32)
     documents = [np.append(a, 2), np.append(b, 2), np.append(b[::-1][:30], 2), np.append(a[::-1][:30], 2)]
