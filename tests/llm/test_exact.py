@@ -259,3 +259,23 @@ def test_merkle_audit(spark):
     assert merkle.audit(a, a.limit(0)).count() == len(rows)
     assert {r.status for r in merkle.audit(a.limit(0), a).select("status").distinct().collect()} == {"missing_left"}
     assert merkle.audit(a.limit(0), a.limit(0)).count() == 0
+
+
+def test_sketches_put_off_no_link():
+    draw = np.random.default_rng(5)
+    for percent in (70, 80, 90):
+        for n in (1, 2, 3, 7, 40, 255, 256, 600):
+            for _ in range(20):
+                first = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+                second = np.unique(np.concatenate([first[draw.random(n) < 0.95], draw.integers(0, 1 << 63, n // 12, dtype=np.uint64)]))
+                first = np.unique(first)
+                both = len(np.intersect1d(first, second))
+                if not both or 100 * both < percent * (len(first) + len(second) - both):
+                    continue
+                sets = object.__new__(jaccard_join.Sets)
+                sets.sets, sets.sizes = [first, second], np.array([len(first), len(second)])
+                sets.flat = np.concatenate(sets.sets)
+                a, b = sets.sketches().to_pylist()
+                bits = int(jaccard_join.sketch_bits(sets.sizes).min())
+                apart = jaccard_join.distances(jaccard_join.buckets([a], bits), jaccard_join.buckets([b], bits))
+                assert jaccard_join.may_link(percent, apart, sets.sizes[:1], sets.sizes[1:]).all()
