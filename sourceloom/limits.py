@@ -7,27 +7,30 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Limits:
-    # They decide which files and chunks exist.
-    max_files: int = 500          # eligible files per repository, in path order
-    max_bytes: int = 102_400      # largest eligible file
+    # None: no bound, every row and every character takes part.
+    max_files: int | None = None  # eligible files per repository, in path order
+    max_bytes: int | None = None  # largest eligible file
+    # They decide which chunks exist.
     min_tokens: int = 50          # smaller boundary units are dropped
     max_tokens: int = 1_500       # larger boundary units are descended into
     header_tokens: int = 300      # the context header stops after the line that crosses this
     window: int = 80              # lines per fallback window
     stride: int = 60              # lines between fallback window starts
-    max_depth: int = 10           # nesting guard for boundary units
+    max_depth: int | None = None  # nesting guard for boundary units
     upsert_batch: int = 100       # rows per accounting batch
-    metadata_chars: int = 4_000   # content kept next to a vector
+    metadata_chars: int | None = None   # content kept next to a vector
     default_top_k: int = 8
     max_top_k: int = 20           # also the over-fetch ceiling
     list_limit: int = 50          # rows of a repository listing
 
-    def files_cap(self, max_files: int | None = None) -> int:
+    def files_cap(self, max_files: int | None = None) -> int | None:
         """0 and None both mean "use the default"."""
         return max_files or self.max_files
 
-    def bytes_cap(self, max_bytes: int | None = None) -> int:
+    def bytes_cap(self, max_bytes: int | None = None) -> int | None:
         return max_bytes or self.max_bytes
 
 
 DEFAULTS = Limits()
+# The bounds of a small service, for callers who ask for them.
+BOUNDED = Limits(max_files=500, max_bytes=102_400, max_depth=10, metadata_chars=4_000)

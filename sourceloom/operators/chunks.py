@@ -172,7 +172,11 @@ def _analyse(content: Column, language: Column,
 
 
 def _is_boundary(limits: Limits) -> Callable[[Column], Column]:
-    return lambda u: (u["unit"] != rules.IMPORT_TYPE) & (u["depth"] <= limits.max_depth)
+    def test(u: Column) -> Column:
+        no_import = u["unit"] != rules.IMPORT_TYPE
+        return no_import if limits.max_depth is None else no_import & (u["depth"] <= limits.max_depth)
+
+    return test
 
 
 def code_blocks(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:

@@ -33,10 +33,15 @@ def is_skipped_name(path: Column | str, glob_skip: bool = True) -> Column:
     return skipped
 
 
-def is_eligible(max_bytes: int, glob_skip: bool = True) -> Column:
+def has_size(size: Column | str, max_bytes: int | None) -> Column:
+    """Not empty, and not above ``max_bytes`` where that is given."""
+    return as_column(size) >= 1 if max_bytes is None else as_column(size).between(1, max_bytes)
+
+
+def is_eligible(max_bytes: int | None, glob_skip: bool = True) -> Column:
     """Every per-file test except the content test, cheapest first."""
     return (
-        F.col("size").between(1, max_bytes)
+        has_size("size", max_bytes)
         & suffix("path").isin(list(rules.LANGUAGES))
         & ~is_skipped_name("path", glob_skip)
         & ~in_skipped_dir("path")
@@ -45,14 +50,16 @@ def is_eligible(max_bytes: int, glob_skip: bool = True) -> Column:
 
 def eligible_files(files: DataFrame, limits: Limits = DEFAULTS, max_files: int | None = None,
                    max_bytes: int | None = None, glob_skip: bool = True) -> DataFrame:
-    """Eligible files with their language: at most ``max_files`` per repository, in path order.
+    """Eligible files with their language; with ``max_files``, the first of every repository in path order.
 
-    ``files``: repo_id, path, size, content. Contents are never shuffled for the cap: the ranking
+    ``files``: repo_id, path, size, content. Without a cap every file is judged alone. Contents are never shuffled for the cap: the ranking
     sees keys only, and yields one cut-off path for each repository that exceeds the cap.
     """
     cap = limits.files_cap(max_files)
     kept = files.where(is_eligible(limits.bytes_cap(max_bytes), glob_skip)).where(~is_blank("content"))
     kept = kept.withColumn("language", rules.detect_language("path"))
+    if cap is None:
+        return kept
     keys = kept.select("repo_id", path_parts("path").alias("_parts"))
     ranked = top_per_key(keys, ["repo_id"], [F.col("_parts")], cap + 1, rank="_rank",
                          salt_by=["_parts"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sourceloom.functions import rules
 from sourceloom.functions.text import as_column, or_default, strip
 from sourceloom.limits import DEFAULTS, Limits
+from sourceloom.sources.staging import staged
 
 JOB = "repo_id string, github_url string, branch string"
 NO_FILES = "No supported source files found in repository"  # fixed value
@@ -111,15 +112,23 @@ def upsert_batches(chunked: DataFrame, is_valid: Callable[[Column], Column],
     """Success accounting by batches of consecutive chunks; a batch with an invalid row fails whole.
 
     ``chunked`` holds one row per file with its ``chunks`` array. The place of a chunk in its
-    repository is the number of chunks in earlier files plus its place in the file. The window sees
-    one row of flags per file, and files per repository are capped, so contents are not shuffled
-    and no task ranks all chunks of a large repository.
+    repository is the number of chunks in earlier files plus its place in the file. Flags are sorted
+    into ranges of (repository, path); sums of whole ranges and a window inside each give the place,
+    so contents are not shuffled and no task holds a large repository.
     """
     flags = F.transform("chunks", lambda c: F.coalesce(is_valid(c), F.lit(False)))
     files = chunked.select("repo_id", F.split("path", "/", -1).alias("_parts"), flags.alias("_ok"))
-    before = W.partitionBy("repo_id").orderBy("_parts").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.size("_ok")).over(before), F.lit(0))
-    rows = files.withColumn("_offset", offset).select(
+    # Written once, so that a row has the same range for both of its readers.
+    ranged = staged(files.repartitionByRange("repo_id", "_parts").withColumn("_range", F.spark_partition_id()))
+
+    def earlier(keys: list[str], order: str, size: Column) -> Column:
+        before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(size).over(before), F.lit(0))
+
+    ranges = ranged.groupBy("repo_id", "_range").agg(F.sum(F.size("_ok")).alias("_n"))
+    starts = ranges.select("repo_id", "_range", earlier(["repo_id"], "_range", F.col("_n")).alias("_start"))
+    offset = F.col("_start") + earlier(["repo_id", "_range"], "_parts", F.size("_ok"))
+    rows = ranged.join(starts, ["repo_id", "_range"]).withColumn("_offset", offset).select(
         "repo_id", "_offset", F.posexplode("_ok").alias("_place", "ok"))
     batch = F.floor((F.col("_offset") + F.col("_place")) / limits.upsert_batch).cast("bigint")
     n = F.count(F.lit(1))

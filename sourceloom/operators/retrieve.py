@@ -29,6 +29,12 @@ SOURCE_FIELDS = ["file_path", "node_type", "node_name", "start_line", "end_line"
                  "content", "score"]
 
 
+def with_bounds(questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """Questions that are searched: a null ``top_k`` is the default, one out of bounds is refused (see ``query_gate``)."""
+    filled = questions.withColumn("top_k", F.coalesce(F.col("top_k"), F.lit(limits.default_top_k)))
+    return filled.where(F.col("top_k").between(1, limits.max_top_k))
+
+
 def with_question_vectors(questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Vectorize questions in the space of the chunks and add ``fetch_k``."""
     one = questions.select(

@@ -19,9 +19,11 @@ def chunk_text() -> Column:
 
 
 def vector_metadata(chunks: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """What is stored next to a vector; the content is cut to the metadata size limit."""
-    cut = F.substring("content", 1, limits.metadata_chars).alias("content")
-    return chunks.select("id", *METADATA, cut)
+    """What is stored next to a vector; the content is cut only where the limits bound it."""
+    content = F.col("content")
+    if limits.metadata_chars is not None:
+        content = F.substring(content, 1, limits.metadata_chars).alias("content")
+    return chunks.select("id", *METADATA, content)
 
 
 def sparse_vectors(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:

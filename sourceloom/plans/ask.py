@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators.repos import repo_name
 from sourceloom.operators.retrieve import (
-    hits_with_metadata, prompts, rag_sources, with_question_vectors,
+    hits_with_metadata, prompts, rag_sources, with_bounds, with_question_vectors,
 )
 from sourceloom.operators.search import search_sparse
 from sourceloom.operators.vectors import chunk_vectors, vector_metadata
@@ -25,7 +25,8 @@ def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS
 
 
 def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Sources of every question: search, metadata, overlap removal, trim to ``top_k``."""
+    """Sources of every question with a valid ``top_k``: search, metadata, overlap removal, trim to ``top_k``."""
+    questions = with_bounds(questions, limits)
     hits = hits_with_metadata(find_hits(chunks, questions, limits), vector_metadata(chunks, limits),
                               questions, limits)
     return rag_sources(hits, questions)
@@ -34,6 +35,6 @@ def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEF
 def question_prompts(chunks: DataFrame, questions: DataFrame, repos: DataFrame,
                      limits: Limits = DEFAULTS) -> DataFrame:
     """Prompt rows. ``repos``: repo_id, url."""
-    named = questions.join(repos.select("repo_id", "url"), "repo_id", "left").withColumn(
+    named = with_bounds(questions, limits).join(repos.select("repo_id", "url"), "repo_id", "left").withColumn(
         "repo_name", F.coalesce(repo_name("url"), F.col("repo_id")))
     return prompts(named, answer_sources(chunks, questions, limits))

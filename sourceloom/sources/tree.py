@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.text import decode_utf8
 from sourceloom.limits import DEFAULTS, Limits
+from sourceloom.operators.files import has_size
 
 EVAL_PAIRS = "question string, ground_truth string"
 
 
 def scan_tree(spark: SparkSession, root: str, repo_id: Column | str | None = None,
-              limits: Limits = DEFAULTS) -> DataFrame:
+              limits: Limits = DEFAULTS, max_bytes: int | None = None) -> DataFrame:
     """Files below ``root`` as repo_id, path, size, content.
 
-    The size limits are pushed into the scan, so larger files are never read. By default the first
+    A size bound is pushed into the scan, so larger files are never read. By default the first
     directory level names the repository and the rest is the path inside it.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(F.col("length").between(1, limits.max_bytes))
+        .where(has_size("length", limits.bytes_cap(max_bytes)))
     )
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
     inside = F.substring(

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from sourceloom.functions import rules, text
 from sourceloom.functions.vector import BUCKETS
-from sourceloom.limits import DEFAULTS, Limits
+from sourceloom.limits import BOUNDED, DEFAULTS, Limits
 from sourceloom.operators import repos, retrieve, traces
 from suite import fixed
 from suite.queries import CAP, SMALL_WINDOWS
@@ -81,15 +81,17 @@ def skipped_name(globs: bool) -> str:
     return "(" + " OR ".join([exact, *ends]) + ")"
 
 
-def eligible(cap: int = DEFAULTS.max_files, globs: bool = True) -> str:
+def eligible(cap: int | None = None, globs: bool = True, max_bytes: int | None = None) -> str:
+    within = "" if cap is None else f" WHERE rn <= {cap}"
+    size = "size >= 1" if max_bytes is None else f"size BETWEEN 1 AND {max_bytes}"
     return f"""eligible AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY string_split(path, '/')) AS rn
     FROM files
-    WHERE size BETWEEN 1 AND {DEFAULTS.max_bytes} AND language IS NOT NULL
+    WHERE {size} AND language IS NOT NULL
       AND NOT ({IN_SKIPPED_DIR}) AND NOT {skipped_name(globs)}
       AND regexp_matches(content, {lit(text.NON_SPACE)})
-  ) WHERE rn <= {cap})"""
+  ){within})"""
 
 
 # Chunks --------------------------------------------------------------------------------------
@@ -225,7 +227,7 @@ block AS (
             AND (p.start_line, p.end_line) <> (u.start_line, u.end_line)) AS depth
   FROM unit u)"""
 
-IS_BOUNDARY = f"unit <> {lit(rules.IMPORT_TYPE)} AND depth <= {DEFAULTS.max_depth}"
+IS_BOUNDARY = f"unit <> {lit(rules.IMPORT_TYPE)}"
 IN_RANGE = f"token_count BETWEEN {DEFAULTS.min_tokens} AND {DEFAULTS.max_tokens}"
 
 
@@ -341,7 +343,7 @@ SOURCES = f"""
 sources AS (
   SELECT d.question_id, d.h.repo_id AS repo_id, d.rank, d.h.id AS id, c.file_path, c.node_type, c.node_name,
          c.start_line, c.end_line, coalesce(c.language, 'unknown') AS language,
-         substr(c.content, 1, {DEFAULTS.metadata_chars}) AS content, d.h.score AS score
+         c.content, d.h.score AS score
   FROM disjoint d JOIN chunks c ON c.repo_id = d.h.repo_id AND c.id = d.h.id JOIN question USING (question_id)
   WHERE d.rank <= top_k)"""
 
@@ -478,7 +480,7 @@ def sql() -> dict[str, str]:
         "skip_files": with_(FILES, select=f"SELECT doc_id, path FROM files WHERE NOT {skipped_name(True)}"),
         "eligible_files": with_(FILES, eligible(), select="""
             SELECT repo_id, path, size, language, length(content)::INTEGER AS n_chars FROM eligible"""),
-        "eligible_files_capped": with_(FILES, eligible(CAP, False), select=(
+        "eligible_files_capped": with_(FILES, eligible(CAP, False, BOUNDED.max_bytes), select=(
             "SELECT repo_id, path, language FROM eligible")),
         "language_counts": with_(FILES, eligible(), select="""
             SELECT language, count(*) AS file_count FROM eligible GROUP BY language ORDER BY 2 DESC"""),
@@ -503,7 +505,7 @@ def sql() -> dict[str, str]:
                    file_path || ':L' || start_line || '-L' || end_line AS location FROM chunks"""),
         "vector_metadata": with_(CHUNKS, select=f"""
             SELECT id, repo_id, file_path, language, node_type, node_name, start_line, end_line, token_count,
-                   substr(content, 1, {DEFAULTS.metadata_chars}) AS content FROM chunks"""),
+                   substr(content, 1, {BOUNDED.metadata_chars}) AS content FROM chunks"""),
         "chunk_sample": with_(*ALL_CODE, select="""
             SELECT node_type, node_name, file_path, start_line, end_line, token_count FROM chunks
             ORDER BY repo_id, string_split(file_path, '/'), chunks.start_line, id LIMIT 5"""),

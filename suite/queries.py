@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceloom.functions import rules, text
-from sourceloom.limits import DEFAULTS, Limits
+from sourceloom.limits import BOUNDED, DEFAULTS, Limits
 from sourceloom.operators import chunks, files, quality, repos, retrieve, search, traces, vectors
 from sourceloom.plans import ask, ingest
 from sourceloom.sources.staging import staged
@@ -52,7 +52,8 @@ def eligible_files(spark, sf_dir):
 
 @query
 def eligible_files_capped(spark, sf_dir):
-    return files.eligible_files(corpus.files(spark, sf_dir), max_files=CAP, glob_skip=False).select(
+    return files.eligible_files(corpus.files(spark, sf_dir), max_files=CAP, max_bytes=BOUNDED.max_bytes,
+                                glob_skip=False).select(
         "repo_id", "path", "language")
 
 
@@ -116,7 +117,7 @@ def embedding_text(spark, sf_dir):
 
 @query
 def vector_metadata(spark, sf_dir):
-    return vectors.vector_metadata(chunks.fallback_chunks(corpus.plain_files(spark, sf_dir)))
+    return vectors.vector_metadata(chunks.fallback_chunks(corpus.plain_files(spark, sf_dir)), BOUNDED)
 
 
 @query

@@ -261,8 +261,9 @@ def test_content_is_whole_lines_without_outer_indent(spark):
 
 def test_depth_guard(spark):
     content = "".join(" " * i + f"def f{i}():\n" for i in range(14))
-    rows = chunks.code_blocks(frame(spark, content, "python")).collect()
+    rows = chunks.code_blocks(frame(spark, content, "python"), Limits(max_depth=10)).collect()
     assert max(r.indent for r in rows) == 10 and len(rows) == 11
+    assert chunks.code_blocks(frame(spark, content, "python")).count() == 14
 
 
 def test_files_without_units_fall_back(spark):

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceloom.functions import rules, text
+from sourceloom.limits import BOUNDED
 from sourceloom.operators import files
 from sourceloom.operators.ranking import top_per_key
 from sourceloom.sources.tree import scan_tree
@@ -45,8 +46,15 @@ def test_skipped_names(spark):
 def test_size_and_blank_content(spark):
     rows = [("r", "zero.py", 0, "x"), ("r", "one.py", 1, "x"), ("r", "max.py", 102_400, "x"),
             ("r", "over.py", 102_401, "x"), ("r", "blank.py", 4, " \n\t\r\x0b\f"), ("r", "doc.txt", 3, "x")]
-    df = files.eligible_files(spark.createDataFrame(rows, FILES))
-    assert sorted(paths(df)) == ["max.py", "one.py"]
+    df = spark.createDataFrame(rows, FILES)
+    assert sorted(paths(files.eligible_files(df))) == ["max.py", "one.py", "over.py"]
+    assert sorted(paths(files.eligible_files(df, BOUNDED))) == ["max.py", "one.py"]
+    assert sorted(paths(files.eligible_files(df, max_bytes=1))) == ["one.py"]
+
+
+def test_no_cap_by_default(spark):
+    rows = [("r", f"d{i % 9}/f{i}.py", 5, "x = 1") for i in range(2000)] + [("r", "big.py", 300_000, "x " * 150_000)]
+    assert files.eligible_files(spark.createDataFrame(rows, FILES)).count() == 2001
 
 
 def test_cap_counts_eligible_files_in_path_part_order(spark):
@@ -94,7 +102,8 @@ def test_scan_tree(spark, tmp_path):
     (tmp_path / "r1" / "empty.py").write_text("")
     (tmp_path / "r2" / "b.go").write_bytes(b"a\x80\xffb")
     (tmp_path / "r2" / "big.go").write_text("x" * 102_401)
-    df = scan_tree(spark, str(tmp_path))
+    assert scan_tree(spark, str(tmp_path)).where("path = 'big.go'").first().size == 102_401
+    df = scan_tree(spark, str(tmp_path), limits=BOUNDED)
     rows = {(r.repo_id, r.path, r.size, r.content) for r in df.collect()}
     assert rows == {("r1", "src/a.py", 6, "x = 1\n"), ("r2", "b.go", 4, "a��b")}
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -84,6 +84,12 @@ def test_question_to_source_end_to_end(spark):
     assert [(r.repo_id, r.file_path, r.rank) for r in out] == [("r", "a.py", 1)]
 
 
+def test_top_k_is_filled_in_and_bounded(spark):
+    questions = spark.createDataFrame([(1, None), (2, 0), (3, 21), (4, 20)], "question_id int, top_k int")
+    rows = retrieve.with_bounds(questions).orderBy("question_id").collect()
+    assert [(r.question_id, r.top_k) for r in rows] == [(1, 8), (4, 20)]
+
+
 def test_traces(spark):
     answers = spark.createDataFrame(
         [("t", "r", "q", ["x" * 400, "y" * 400, "z", "w"], "a", "alpha/small", 8, 5, None, 2, 3)],
