@@ -122,7 +122,14 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            self._hashes = Prefix(BYTE_VALUES[self.data]).spans(self.starts, self.ends)
+            self._hashes = np.empty(len(self), np.uint64)
+            first = 0
+            while first < len(self):               # a piece of about a megabyte, so that long texts need no wide arrays
+                at = self.starts[first]
+                last = max(int(np.searchsorted(self.ends, at + SLICE_BYTES, side="right")), first + 1)
+                piece = Prefix(BYTE_VALUES[self.data[at:self.ends[last - 1]]])
+                self._hashes[first:last] = piece.spans(self.starts[first:last] - at, self.ends[first:last] - at)
+                first = last
         return self._hashes
 
     @property
