@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as flat numpy arrays: bytes, words, window hashes.
 
-A batch is walked in slices of about a megabyte of text (a longer text is a slice of its own), so the
+A batch is walked in slices of about half a megabyte of text (a longer text is a slice of its own), so the
 working memory of a task is bounded by the longest text and not by the batch.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 # White space that separates words, and the word characters of the benchmark check.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -124,7 +124,7 @@ class Words:
         if self._hashes is None:
             self._hashes = np.empty(len(self), np.uint64)
             first = 0
-            while first < len(self):               # a piece of about a megabyte, so that long texts need no wide arrays
+            while first < len(self):               # a piece of about half a megabyte, so that long texts need no wide arrays
                 at = self.starts[first]
                 last = max(int(np.searchsorted(self.ends, at + SLICE_BYTES, side="right")), first + 1)
                 piece = Prefix(BYTE_VALUES[self.data[at:self.ends[last - 1]]])

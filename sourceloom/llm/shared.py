@@ -21,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Shuffle files of a step are freed once it is written, and texts go to Python in batches of a few megabytes.
+STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,12 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_dir(spark)
-    before = spark.conf.get(FREE_SHUFFLES)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    before = {key: spark.conf.get(key) for key in STEP}
+    for key, value in STEP.items():
+        spark.conf.set(key, value)
     try:
         return df.select("*").checkpoint()
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
