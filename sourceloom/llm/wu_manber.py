@@ -142,11 +142,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if passes == 1:
         return found
-    # Rows that share rid hold one text, so their hits are equal and repeating them changes nothing.
+    # Rows that share rid hold one text, so their hits are equal and repeating them changes nothing. A set has no
+    # order, so the two ends of a range travel as one value.
     merged = found.groupBy("rid").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_set("lo")).alias("lo"),
-        F.flatten(F.collect_set("hi")).alias("hi"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        F.max("n_words").alias("n_words"),
+        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("lo", "hi")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")) \
+        .select("rid", "n_words", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"), "items")
     return docs.select("rid", "doc_id").join(merged, "rid")
 
 

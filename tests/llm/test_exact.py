@@ -80,6 +80,21 @@ def test_wu_manber(spark, table, monkeypatch):
     assert clean.columns == table.columns
 
 
+def test_wu_manber_keeps_ends_of_hits_of_several_passes_together(spark, monkeypatch):
+    items = [(i, " ".join(f"p{i}x{j}" for j in range(10))) for i in range(12)]
+    items += [(20 + i, " ".join(t.split()[:3 + i % 5])) for i, t in items]          # same start, other end
+    other = " ".join(f"w{j}" for j in range(40))
+    rows = [(i, f"{other} {items[i % 12][1]} {other} {items[(i * 5 + 1) % 12][1]} tail") for i in range(30)]
+    rows += [(50 + i, f"lead {items[12 + i][1]} {other} {items[i][1]}") for i in range(12)] + [rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    expected = sorted(brute.contamination(rows, items), key=str)
+    assert collected(wu_manber.contamination(docs, benchmark), *columns) == expected
+    monkeypatch.setattr(wu_manber, "BLOCK_BYTES", 700)
+    assert collected(wu_manber.contamination(docs, benchmark), *columns) == expected
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 70)])
 def test_jaccard_join(table, k, percent):
     rows = rows_of(table)
