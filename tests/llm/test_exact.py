@@ -217,6 +217,43 @@ def test_packing_prefers_neighbours():
     assert {(p[0], p[3]) for p in pieces} == {(0, 0), (3, 0), (1, 1), (2, 1)}
 
 
+def test_packing_asks_all_documents_with_all_terms(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_POSTINGS", 50)
+    monkeypatch.setattr(packing, "ROUND_SEEDS", 7)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1 << 10, raising=False)
+    rows = sorted((d, t or "") for d, t in rows_of(docs))
+    encoder = packing.Encoder(TOKENIZER)
+    ids = [encoder(t, 2) for _, t in rows]
+    total, n = sum(len(i) for i in ids), len(ids)
+    df = {}
+    for i in ids:
+        for t in set(i.tolist()):
+            df[t] = df.get(t, 0) + 1
+
+    def score(seed, other):
+        counts = dict(zip(*np.unique(ids[other], return_counts=True)))
+        norm = 1.2 * (0.25 + 0.75 * len(ids[other]) * n / total)
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * counts[t] * 2.2 / (counts[t] + norm)
+                   for t in set(ids[seed].tolist()) & set(counts))
+
+    number = {d: i for i, (d, _) in enumerate(rows)}
+    sequences = {}
+    for p in packing.pack(docs, TOKENIZER, window=512).collect():
+        sequences.setdefault(p.sequence_id, []).append((p.offset, number[p.doc_id], p.length))
+    left, asked = {i: len(x) for i, x in enumerate(ids)}, 0
+    for _, sequence in sorted(sequences.items()):
+        pieces = [(d, length) for _, d, length in sorted(sequence)]
+        seed = pieces[0][0]
+        left[seed] -= pieces[0][1]
+        for d, length in pieces[1:]:
+            assert left[d] and d != seed
+            best = max(score(seed, o) for o in left if left[o] and o != seed)
+            assert score(seed, d) >= best * (1 - 1e-5)
+            left[d] -= length
+            asked += 1
+    assert asked > 20 and not any(left.values())
+
+
 def test_reshard(table):
     rows = rows_of(table)
     out = flow_shards.reshard(table, F.pmod(F.xxhash64("source"), F.lit(3)).cast("int"), [1] * 4).collect()
