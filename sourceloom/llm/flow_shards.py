@@ -135,7 +135,9 @@ def rewrite(spark: SparkSession, old_paths: dict[int, str], old_shard_of: str, a
     """Write the files of shards that gain or lose rows; return the paths of every new shard.
 
     ``old_paths`` has the Parquet folder of each old shard. A shard that keeps exactly its rows keeps its folder.
-    ``assignment`` has the ``key`` columns, ``old_shard_of`` and shard.
+    ``assignment`` has the ``key`` columns, ``old_shard_of`` and shard, one row per row of the shards. Rows of one key
+    in one old shard are numbered on both sides, so each goes to one place; they are interchangeable only if the key
+    tells different rows apart. Numbers are given inside (key, old shard).
     """
     moved = assignment.where(F.col(old_shard_of) != F.col("shard"))
     touched = {r[0] for c in (old_shard_of, "shard") for r in moved.select(c).distinct().collect()}
@@ -145,9 +147,13 @@ def rewrite(spark: SparkSession, old_paths: dict[int, str], old_shard_of: str, a
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    copies = Window.partitionBy("_old", *[F.col(f"_{k}") for k in key])
     to = assignment.where(F.col(old_shard_of).isin(sorted(touched))).select(
-        *[F.col(k).alias(f"_{k}") for k in key], F.col("shard").alias("_shard")).distinct()
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    rows.join(to, on).drop("_old", *[f"_{k}" for k in key]).write.partitionBy("_shard").parquet(out)
+        *[F.col(k).alias(f"_{k}") for k in key], F.col(old_shard_of).alias("_old"), F.col("shard").alias("_shard")) \
+        .withColumn("_copy", F.row_number().over(copies.orderBy("_shard")))
+    # Copies come in any order, so their numbers are written down before they are joined.
+    rows = shared.cut(rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_old", *key).orderBy(F.lit(0)))))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key] + [rows[c] == to[c] for c in ("_old", "_copy")]
+    rows.join(to, on).drop("_old", "_copy", *[f"_{k}" for k in key]).write.partitionBy("_shard").parquet(out)
     kept = {s: [p] for s, p in old_paths.items() if s not in touched}
     return kept | {s: [f"{out}/_shard={s}"] for s in sorted(touched)}

@@ -296,6 +296,21 @@ def test_rewrite_touches_changed_shards_only(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(*new[1]).collect()) == [3, *range(10, 20)]
 
 
+def test_rewrite_writes_every_copy_once(spark, tmp_path):
+    ids = {0: [1, 1, 1, 1, None, None, 2], 1: [1, None, 3, 3], 2: [4]}
+    paths = {}
+    for s, own in ids.items():
+        paths[s] = f"{tmp_path}/old{s}"
+        spark.createDataFrame([(i,) for i in own], "id long").write.parquet(paths[s])
+    plan = [(i, s, (n % 2) if s < 2 else s) for s, own in ids.items() for n, i in enumerate(own)]
+    assignment = spark.createDataFrame(plan, "id long, old int, shard int")
+    new = flow_shards.rewrite(spark, paths, "old", assignment, f"{tmp_path}/new", ["id"])
+    assert new[2] == [paths[2]]
+    for s in (0, 1, 2):
+        got = [r.id for r in spark.read.parquet(*new[s]).collect()]
+        assert sorted(got, key=str) == sorted((i for i, _, to in plan if to == s), key=str)
+
+
 PAGES = "page_id long, url string, html string, file long, hash string"
 
 
