@@ -222,7 +222,8 @@ def in_fold(id_column: str, modulus: int, remainder: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, per_label: int = SAMPLE_PER_LABEL):
-    """Texts and labels of at most ``per_label`` rows of each label outside the held-out fold, chosen by hash."""
+    """Texts and labels of at most ``per_label`` ids of each label outside the held-out fold, chosen by hash;
+    of an id with several texts the greatest."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out) \
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(1))
@@ -230,9 +231,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, per_
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
-    # At most 2 * per_label ids, whatever the size of the tables.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text") \
-        .limit(4 * per_label).collect()
+    # At most 2 * per_label ids, and one text of each, whatever the size of the tables.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y") \
+        .agg(F.max("text").alias("text")).orderBy("doc_id").collect()
     share = known.agg(F.avg("y").alias("share")).first()["share"]
     return [r["text"] or "" for r in rows], [r["y"] for r in rows], share
 

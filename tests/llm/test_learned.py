@@ -69,6 +69,13 @@ def test_training_rows_leave_the_fold_out(spark):
     assert len(subword.training_rows(docs, labels, "toxic", held, 4)[0]) == 8
 
 
+def test_training_rows_take_one_text_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(0, f"copy {i}") for i in range(200)] + [(i, str(i)) for i in range(1, 20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    texts, y, _ = subword.training_rows(docs, labels, "toxic", F.lit(False), 10)
+    assert sorted(texts) == sorted(["copy 99", *map(str, range(1, 20))]) and sum(y) == 10
+
+
 @pytest.mark.parametrize("name,label,fold,threshold", [
     ("op6_toxicity", "toxic", (3, 1), 0.7), ("op8_quality_classifier", "quality", (5, 0), 0.3)])
 def test_held_out_accuracy(spark, name, label, fold, threshold):
