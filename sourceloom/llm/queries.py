@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceloom.llm import bwt_merge, flow_shards, jaccard_join, merkle, packing, quality_rules, shared, subword, suffix_tree, wu_manber
+from sourceloom.llm import (bwt_merge, byte_bpe, flow_shards, hard_negatives, jaccard_join, manifest, merkle, packing,
+                            quality_rules, shared, subword, suffix_tree, wu_manber)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -105,3 +106,21 @@ def op9_wu_manber(spark, sf_dir):
 def op10_bwt_merge_dedup(spark, sf_dir):
     return bwt_merge.remove_repeats(shared.documents(spark, sf_dir), length=200).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_recursive_manifest(spark, sf_dir):
+    return manifest.audit_documents(shared.documents(spark, sf_dir))
+
+
+@query
+def op12_angular_negatives(spark, sf_dir):
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_distinct_word_bpe(spark, sf_dir):
+    docs = shared.documents(spark, sf_dir)
+    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

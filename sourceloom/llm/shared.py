@@ -5,16 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourceloom.session import checkpoint_dir
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where a session names none (tests), a folder of its own."""
+    """``spark.checkpoint.dir``; where a local session names none (tests), a folder of its own."""
     path = checkpoint_dir(spark)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), f"checkpoints-{spark.sparkContext.applicationId}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -56,3 +58,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with ``span``, spans). A row's place in its group, from 0, is ``before`` of its span plus its place there.
+
+    Rows are dealt into ranges of (group, order), so a group of any size is spread over tasks; ``spans`` has the group,
+    ``span``, and ``before`` and ``total`` (rows of the group before this span, and in all), one row for each range that a
+    group touches. ``group`` must not hold nulls and ``order`` must tell all rows apart.
+    """
+    ranged = cut(rows.repartitionByRange(*group, *order).withColumn("span", F.spark_partition_id()))
+    counts = ranged.groupBy(*group, "span").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged, cut(counts.select(*group, "span", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+                                     F.sum("n").over(whole).alias("total")))
+
+
+def place(group: list[str], order: list[str]) -> Column:
+    """The place of a row of ``numbered`` that was joined with its span."""
+    return F.col("before") + F.row_number().over(Window.partitionBy(*group, "span").orderBy(*order)) - 1

@@ -102,3 +102,73 @@ def similar(rows, k, percent):
     for i, (doc_id, _) in enumerate(rows):
         low[find(i)] = min(low.get(find(i), doc_id), doc_id)
     return [(doc_id, len(s), low[find(i)]) for i, ((doc_id, _), s) in enumerate(zip(rows, sets))]
+
+
+def manifest(rows, fan=3):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    import zlib
+
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(row):
+        return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def tampered(row):
+        if row[0] is None or row[4] is None or zlib.crc32(str(row[0]).encode()) % 2:
+            return row
+        return (*row[:4], row[4].replace("\n", ""))
+
+    def tree(nodes):
+        """(root, siblings before and after by level for each leaf)."""
+        ways, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for way, i in zip(ways, at):
+                first = i // fan * fan
+                way.append((nodes[first:i], nodes[i + 1:first + fan]))
+            at = [i // fan for i in at]
+            nodes = [h(*nodes[i:i + fan]) for i in range(0, len(nodes), fan)]
+        return nodes[0], ways
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = []
+    for source in order:
+        groups[source].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees.append(tree([leaf(r) for r in groups[source]]))
+    if not trees:
+        return []
+    root, top = tree([t[0] for t in trees])
+    out = []
+    for source, (subroot, ways), rest in zip(order, trees, top):
+        for row, way in zip(groups[source], ways):
+            fold = leaf(tampered(row))
+            for before, after in way + rest:
+                fold = h(*before, fold, *after)
+            proof = h(*(s for before, after in way + rest for s in before + after))
+            out.append((row[0], leaf(row), subroot, root, proof, fold, fold == root))
+    return out
+
+
+def hard_negatives(rows, every=100, keep=5):
+    """Rows of (vec_id, embedding, label), vec_id not null."""
+    import math
+
+    known = []
+    for place, (vec_id, vector, label) in enumerate(rows):
+        if label is None or vector is None or any(x is None or not math.isfinite(x) for x in vector):
+            continue
+        moved = (label + 1) % 10 if vec_id is not None and vec_id % 7 == 0 else label
+        known.append((vec_id, moved, [math.floor(256 * x) for x in vector], place))
+    out = []
+    for anchor in known:
+        if anchor[0] is None or anchor[0] % every:
+            continue
+        scored = sorted(((sum(a * b for a, b in zip(anchor[2], r[2])), r) for r in known if r[3] != anchor[3]),
+                        key=lambda x: (-x[0], x[1][0] is None, x[1][0] or 0, x[1][3]))
+        for p, positive in [x for x in scored if x[1][1] == anchor[1]][:keep]:
+            found = [x for x in scored if x[1][1] != anchor[1] and 80 * p <= 100 * x[0] <= 100 * p][:keep]
+            out += [(anchor[0], positive[0], i + 1, r[0], p, n) for i, (n, r) in enumerate(found)]
+    return out
