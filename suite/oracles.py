@@ -8,7 +8,7 @@ from __future__ import annotations
 from sourceloom.functions import rules, text
 from sourceloom.functions.vector import BUCKETS
 from sourceloom.limits import BOUNDED, DEFAULTS, Limits
-from sourceloom.operators import repos, retrieve, traces
+from sourceloom.operators import repos, retrieve, search, traces
 from suite import fixed
 from suite.queries import CAP, SMALL_WINDOWS
 
@@ -388,17 +388,20 @@ hit AS (
       FROM centroid q JOIN vector v ON v.repo_id = q.repo_id))
   WHERE rank <= 20)"""
 LSH = f"""
+size AS (
+  SELECT greatest(least(ceil(log2((count(*) // 4) / {search.BUCKET_ROWS})), {search.MOST_BITS}), 1)::INTEGER AS bits
+  FROM embeddings),
 plane AS (
-  SELECT p, list(s ORDER BY d) AS s FROM (
+  SELECT p // bits AS t, p % bits AS i, s FROM size, (SELECT p, list(s ORDER BY d) AS s FROM (
     SELECT p, d, CASE WHEN ('0x' || right(md5(p || ':' || d), 1))::INTEGER % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE AS s
-    FROM range(24) a(p), range(64) b(d)) GROUP BY p),
+    FROM range({8 * search.MOST_BITS}) a(p), range(64) b(d)) GROUP BY p) WHERE p < 8 * bits),
 hashed AS (
-  SELECT kind, key, p // 3 AS t, sum(CASE WHEN list_dot_product(v, s) >= 0 THEN 1 << (p % 3) ELSE 0 END) AS b
-  FROM (SELECT 'v' AS kind, id::VARCHAR AS key, v FROM vector
-        UNION ALL SELECT 'q', question_id, c FROM centroid), plane GROUP BY ALL),
+  SELECT kind, repo_id, key, t, sum(CASE WHEN list_dot_product(v, s) >= 0 THEN 1 << i ELSE 0 END) AS b
+  FROM (SELECT 'v' AS kind, repo_id, id::VARCHAR AS key, v FROM vector
+        UNION ALL SELECT 'q', repo_id, question_id, c FROM centroid), plane GROUP BY ALL),
 pair AS (
-  SELECT DISTINCT q.key AS question_id, v.key::BIGINT AS id FROM hashed q JOIN hashed v USING (t, b)
-  WHERE q.kind = 'q' AND v.kind = 'v'),
+  SELECT DISTINCT q.key AS question_id, v.key::BIGINT AS id FROM hashed q JOIN hashed v USING (repo_id, t)
+  WHERE q.kind = 'q' AND v.kind = 'v' AND bit_count(xor(q.b::BIGINT, v.b::BIGINT)) <= 1),
 hit AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INTEGER AS rank FROM (

@@ -164,7 +164,8 @@ def search_dense(spark, sf_dir):
 
 @query
 def search_lsh(spark, sf_dir):
-    return _dense_hits(spark, sf_dir, search.search_lsh, dims=64)
+    rows = corpus.table(spark, sf_dir, "embeddings").count() // 4           # four repositories
+    return _dense_hits(spark, sf_dir, search.search_lsh, dims=64, bits=search.lsh_bits(rows))
 
 
 @query

@@ -72,13 +72,40 @@ def test_block_search_equals_brute_force(spark, monkeypatch, vector_block, quest
     assert got == brute_force(rows, questions)
 
 
-def test_search_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(search, "MAX_BROADCAST_KEYS", 0)
+def test_search_without_broadcast(spark):
     rows, questions, chunks, asked = corpus(spark, n=80)
     v = vectors.sparse_vectors(chunks, F.col("content"), ["id", "repo_id"])
-    hits = search.search_sparse(v, retrieve.with_question_vectors(asked))
-    assert {(r.question_id, r.rank, r.id, round(r.score, 12)) for r in hits.collect()} == brute_force(
-        rows, questions)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = search.search_sparse(v, retrieve.with_question_vectors(asked))
+        assert {(r.question_id, r.rank, r.id, round(r.score, 12)) for r in hits.collect()} == brute_force(
+            rows, questions)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_search_shuffles_no_vectors_and_runs_no_job_while_planned(spark, tmp_path):
+    """Written tables, as a store has them: their sizes are known, so the questions are what is sent."""
+    _, _, chunks, asked = corpus(spark, n=200)
+    vectors.sparse_vectors(chunks, F.col("content"), ["id", "repo_id"]).write.parquet(str(tmp_path / "v"))
+    asked.write.parquet(str(tmp_path / "q"))
+    v, q = spark.read.parquet(str(tmp_path / "v")), spark.read.parquet(str(tmp_path / "q"))
+    spark.sparkContext.setJobGroup("planning", "a search that is only planned")
+    hits = search.search_sparse(v, retrieve.with_question_vectors(q))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    below_join = plan[plan.index("BroadcastHashJoin"):]
+    assert "Exchange hashpartitioning" not in below_join and "SortMergeJoin" not in plan
+
+
+def test_tiles_hold_every_row_once(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 3).alias("k"), "id",
+                                  F.array("id", "id").alias("v")).repartition(3)
+    rows = search.tiles(df, ["k"], 50, ["id"], "_t").collect()
+    assert all(len(r.id_t) <= 50 and r.id_t == sorted(r.id_t) and r.v_t == [[i, i] for i in r.id_t] for r in rows)
+    assert sorted((r.k, i) for r in rows for i in r.id_t) == sorted((r.k, r.id) for r in df.where("k is not null").collect())
 
 
 def dense_input(spark):
@@ -106,12 +133,49 @@ def test_dense_search_equals_brute_force(spark, monkeypatch):
         assert [x for _, x in sorted(got[i])] == best.tolist()
 
 
-def test_lsh_recall(spark):
-    _, v, q = dense_input(spark)
+def neighbourhoods(spark, count=4000, dims=32):
+    """Two repositories of groups of near vectors; a question asks for the neighbours of a vector."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(count // 10, dims))
+    data = (centres[np.arange(count) // 2 % len(centres)] + rng.normal(scale=0.35, size=(count, dims))).astype("float32")
+    v = spark.createDataFrame([(i, f"s{i % 2}", x.tolist()) for i, x in enumerate(data)],
+                              "id long, repo_id string, vector array<float>")
+    q = spark.createDataFrame([(i, f"s{i % 2}", data[i].tolist(), 5) for i in range(0, 80)],
+                              "question_id long, repo_id string, vector array<float>, fetch_k int")
+    return v, q
+
+
+def test_lsh_recall_and_share_of_pairs(spark):
+    v, q = neighbourhoods(spark)
+    bits = search.lsh_bits(2000)
     exact = search.search_dense(v, q)
-    found = search.search_lsh(v, q, dims=8, tables=8, bits=3)
+    found = search.search_lsh(v, q, dims=32, bits=bits)
     assert found.groupBy("question_id", "id").count().where("count > 1").count() == 0
-    assert quality.recall_at_k(found, exact).first().recall > 0.9
+    assert quality.recall_at_k(found, exact).first().recall >= 0.9
+    pairs = search.lsh_candidates(search.lsh_index(v, 32, 8, bits), search.lsh_probes(q, 32, 8, bits, 1))
+    assert 0 < pairs.count() < 0.2 * 80 * 2000
+
+
+def test_lsh_more_flips_find_more_and_scores_are_exact(spark):
+    v, q = neighbourhoods(spark, 800)
+    exact = {(r.question_id, r.id): r.score for r in search.search_dense(v, q.withColumn("fetch_k", F.lit(20))).collect()}
+    recalls = []
+    for flips in (0, 1, 2):
+        found = search.search_lsh(v, q, dims=32, bits=6, tables=2, flips=flips).collect()
+        assert all(exact.get((r.question_id, r.id), r.score) == r.score for r in found)
+        recalls.append(len({(r.question_id, r.id) for r in found} & set(exact)))
+    assert recalls == sorted(recalls) and recalls[0] < recalls[2]
+
+
+def test_lsh_bits_grow_with_rows():
+    assert [search.lsh_bits(n) for n in (0, 1, 32, 2000, 1_000_000, 10**15)] == [1, 1, 4, 10, 19, 24]
+
+
+def test_lsh_index_holds_no_vectors_and_zero_vectors_are_no_hits(spark):
+    v, q = neighbourhoods(spark, 100)
+    assert search.lsh_index(v, 32, 2, 3).columns == ["repo_id", "lsh_table", "lsh_bucket", "id"]
+    zero = spark.createDataFrame([(9999, "s0", [0.0] * 32)], v.schema)
+    assert search.search_lsh(v.union(zero), q, dims=32, bits=1, flips=1).where("id = 9999").count() == 0
 
 
 def test_over_fetch(spark):
