@@ -1,8 +1,9 @@
 """Files to chunks.
 
-A file is at most about 100 KB, so all of its lines fit in one row. Every step below works on the
-line array of one row, and a whole corpus is chunked in one map-only stage: no shuffle, no join, no
-Python. Only the final ``explode`` multiplies rows.
+All lines of a file fit in one row. Every step below works on the line array of one row, and a whole
+corpus is chunked in one map-only stage: no shuffle, no join, no Python. Only the final ``explode``
+multiplies rows. No step carries a growing array from line to line, so the work of a file is in
+proportion to its lines, times the number of different indents that open units.
 
 Unit ends follow indentation: a unit that opens at indent ``k`` runs until the next significant line
 with indent <= ``k``. That line belongs to the unit if it closes it (``}``, ``end``, ``</``) at the
@@ -22,7 +23,6 @@ from sourceloom.functions.text import (
 )
 from sourceloom.limits import DEFAULTS, Limits
 
-UNIT = ("struct<start_line:int,neg_end:int,unit:string,indent:int,depth:int,head:int>")
 CHUNK = ("struct<start_line:int,end_line:int,unit:string,head:string,content:string,"
          "context_header:string,token_count:int>")
 
@@ -85,72 +85,136 @@ def _marks(lines: Column, language: Column) -> Column:
     return F.filter(marked, lambda m: m.isNotNull() & (~m["comment"] | m["unit"].isNotNull()))
 
 
-def _fold_units(marks: Column, language: Column) -> Column:
-    """Units of the marked lines: one pass with a stack of open units."""
+def _not_above(positions: Column, queries: Column) -> Column:
+    """For each of the sorted ``queries``, how many of the sorted ``positions`` are not above it."""
+    merged = F.sort_array(F.concat(
+        F.transform(positions, lambda p: F.struct(p.alias("at"), F.lit(0).alias("query"))),
+        F.transform(queries, lambda q: F.struct(q.alias("at"), F.lit(1).alias("query")))))
+    placed = F.transform(merged, lambda m, i: F.struct(m["query"].alias("query"), i.alias("i")))
+    return F.transform(F.filter(placed, lambda m: m["query"] == 1), lambda m, n: m["i"] - n)
 
-    def unit(start, end, kind, indent, depth, head):
-        return F.struct(start.alias("start_line"), (-end).alias("neg_end"), kind.alias("unit"),
-                        indent.alias("indent"), depth.cast("int").alias("depth"), head.alias("head"))
 
-    no_deco = F.expr("named_struct('start', cast(null as int), 'indent', cast(null as int))")
-
-    def step(state: Column, m: Column) -> Column:
-        outside = F.filter(state["open"], lambda o: o["indent"] < m["indent"])
-        still = F.when(m["continued"], state["open"]).otherwise(outside)
-        ended = F.filter(state["open"], lambda o: o["indent"] >= m["indent"])
-        closed = F.when(m["continued"], _empty(UNIT)).otherwise(F.transform(
-            ended,
-            lambda o: unit(o["start_line"],
-                           F.when(m["closer"] & (o["indent"] == m["indent"]), m["no"])
-                           .otherwise(m["before"]),
-                           o["unit"], o["indent"], o["depth"], o["head"])))
-        deco = state["deco"]
-        decorated = m["unit"].isNotNull() & (deco["indent"] == m["indent"])
-        wrap = F.coalesce(decorated, F.lit(False)) & _in_units(
-            language, m["unit"], rules.DECORATED_WRAP)
-        pull = F.coalesce(decorated, F.lit(False)) & _in_units(
-            language, m["unit"], rules.DECORATED_PULL)
-        depth = F.size(still)
-        plain = unit(F.when(pull, deco["start"]).otherwise(m["no"]), m["no"], m["unit"],
-                     m["indent"], depth + wrap.cast("int"), m["no"])
-        outer = unit(deco["start"], m["no"], F.lit(rules.WRAPPED_TYPE), m["indent"], depth,
-                     deco["start"])
-        opened = (F.when(m["unit"].isNull(), _empty(UNIT))
-                  .when(wrap, F.array(outer, plain)).otherwise(F.array(plain)))
-        new_deco = (
-            F.when(m["decorator"] & (deco["indent"].isNull() | (m["indent"] < deco["indent"])),
-                   F.struct(m["no"].alias("start"), m["indent"].alias("indent")))
-            .when(m["decorator"] | m["continued"] | (m["indent"] > deco["indent"]), deco)
-            .otherwise(no_deco))
-        return F.struct(
-            F.when(F.size(opened) == 0, still).otherwise(F.concat(still, opened)).alias("open"),
-            F.when(m["continued"] | (F.size(ended) == 0), state["done"])
-            .otherwise(F.concat(state["done"], closed)).alias("done"),
-            new_deco.alias("deco"),
-        )
+def _opened(marks: Column) -> Column:
+    """Units of the marked lines in line order, without what decorators add: no, unit, indent, deco, end_line, stop.
 
-    def finish(relevant: Column, last: Column) -> Column:
-        start = F.struct(_empty(UNIT).alias("open"), _empty(UNIT).alias("done"),
-                         no_deco.alias("deco"))
-        return F.aggregate(relevant, start, step, lambda s: F.sort_array(F.concat(
-            s["done"],
-            F.transform(s["open"], lambda o: unit(o["start_line"], last, o["unit"], o["indent"],
-                                                  o["depth"], o["head"])))))
+    A unit of indent ``k`` stops at the next line of indent <= ``k`` that continues no signature. So for each indent
+    that opens units, the lines up to that indent are picked in order, and the neighbours of a unit are its answer:
+    the line after it ends it, and decorators of its own indent right before it, which are kept as their first line,
+    belong to it. A unit whose own line continues a signature stands between such lines.
+    """
+    def opened(m: Column, above: Column, below: Column, last: Column) -> Column:
+        own_deco = above["decorator"] & (above["indent"] == m["indent"])
+        end = (F.when(below["no"].isNull(), last)
+               .when(below["closer"] & (below["indent"] == m["indent"]), below["no"]).otherwise(below["before"]))
+        return F.struct(m["no"].alias("no"), m["unit"].alias("unit"), m["indent"].alias("indent"),
+                        F.when(own_deco, above["no"]).alias("deco"), end.alias("end_line"), below["no"].alias("stop"))
+
+    def of_indent(ms: Column, k: Column, last: Column) -> Column:
+        def opens(m: Column) -> Column:
+            return m["unit"].isNotNull() & (m["indent"] == k)
+
+        def own_deco(m: Column) -> Column:
+            return F.coalesce(m["decorator"] & (m["indent"] == k), F.lit(False))
+
+        def plain(near: Column) -> Column:
+            found = F.transform(near, lambda m, i: F.when(
+                opens(m), opened(m, F.get(near, i - 1), F.get(near, i + 1), last)))
+            return F.filter(found, lambda u: u.isNotNull())
+
+        def continued(near: Column, late: Column) -> Column:
+            place = _not_above(F.transform(near, lambda m: m["no"]), F.transform(late, lambda m: m["no"]))
+            return let(place, lambda at: F.transform(late, lambda m, i: opened(
+                m, F.get(near, F.get(at, i) - 1), F.get(near, F.get(at, i)), last)))
+
+        def both(near: Column) -> Column:
+            late = F.filter(ms, lambda m: opens(m) & m["continued"])
+            return let(late, lambda found: F.when(F.size(found) == 0, plain(near))
+                       .otherwise(F.concat(plain(near), continued(near, found))))
+
+        up_to = F.filter(ms, lambda m: (m["indent"] <= k) & ~m["continued"])
+        return let(let(up_to, lambda ls: F.filter(
+            ls, lambda m, i: ~(own_deco(m) & own_deco(F.get(ls, i - 1))))), both)
 
     def run(ms: Column) -> Column:
-        # Lines deeper than every opening line cannot end a unit: they only move `before`.
-        deepest = F.array_max(F.transform(F.filter(ms, lambda m: m["unit"].isNotNull()),
-                                          lambda m: m["indent"]))
+        indents = F.array_distinct(F.transform(F.filter(ms, lambda m: m["unit"].isNotNull()), lambda m: m["indent"]))
         chained = F.transform(ms, lambda m, i: m.withField("before", F.get(ms, i - 1)["no"]))
-        relevant = let(deepest, lambda k: F.filter(chained, lambda m: m["indent"] <= k))
-        return F.when(F.exists(ms, lambda m: m["unit"].isNotNull()),
-                      finish(relevant, F.element_at(ms, -1)["no"])).otherwise(_empty(UNIT))
+        last = F.element_at(ms, -1)["no"]
+        return let(chained, lambda c: F.sort_array(F.flatten(F.transform(indents, lambda k: of_indent(c, k, last)))))
 
     return let(marks, run)
 
 
+def _depths(opened: Column, wrapped: Column) -> Column:
+    """How many units are open where each unit starts: those that started before it less those that stopped by then.
+
+    ``wrapped`` has one flag per unit; a wrapped unit counts twice.
+    """
+    def depths(us: Column, flags: Column) -> Column:
+        nos = F.transform(us, lambda u: u["no"])
+        twice = F.transform(us, lambda u, i: F.when(F.get(flags, i), F.array(u["stop"], u["stop"])).otherwise(F.array(u["stop"])))
+        stops = F.sort_array(F.filter(F.flatten(twice), lambda at: at.isNotNull()))
+        wraps = F.filter(F.transform(us, lambda u, i: F.when(F.get(flags, i), u["no"])), lambda no: no.isNotNull())
+        return let(_not_above(stops, nos), lambda ended: let(_not_above(wraps, nos), lambda extra: F.transform(
+            us, lambda u, i: (i + F.get(extra, i) - F.get(ended, i) - F.get(flags, i).cast("int")).cast("int"))))
+
+    return let(opened, lambda us: let(wrapped, lambda flags: depths(us, flags)))
+
+
+def _units(marks: Column, language: Column, with_depth: bool) -> Column:
+    """All units of the marked lines by start line, outer before inner."""
+    def unit(start, end, kind, indent, depth, head):
+        return F.struct(start.alias("start_line"), (-end).alias("neg_end"), kind.alias("unit"),
+                        indent.alias("indent"), depth.cast("int").alias("depth"), head.alias("head"))
+
+    def wraps(u: Column) -> Column:
+        return u["deco"].isNotNull() & _in_units(language, u["unit"], rules.DECORATED_WRAP)
+
+    def expand(us: Column, depths: Column | None) -> Column:
+        def one(u: Column, i: Column) -> Column:
+            depth = F.lit(0) if depths is None else F.get(depths, i)
+            pull = u["deco"].isNotNull() & _in_units(language, u["unit"], rules.DECORATED_PULL)
+            plain = unit(F.when(pull, u["deco"]).otherwise(u["no"]), u["end_line"], u["unit"], u["indent"],
+                         depth + wraps(u).cast("int"), u["no"])
+            outer = unit(u["deco"], u["end_line"], F.lit(rules.WRAPPED_TYPE), u["indent"], depth, u["deco"])
+            return F.when(wraps(u), F.array(outer, plain)).otherwise(F.array(plain))
+
+        return F.sort_array(F.flatten(F.transform(us, one)))
+
+    def run(us: Column) -> Column:
+        if not with_depth:
+            return expand(us, None)
+        return let(_depths(us, F.transform(us, wraps)), lambda depths: expand(us, depths))
+
+    return let(_opened(marks), run)
+
+
+SUMMED = 128     # lines whose tokens are summed together
+
+
+def _token_sums(lines: Column) -> Column:
+    """Tokens per line (``n``), and before each run of ``SUMMED`` lines (``before``)."""
+    def add(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda a, n: a + n)
+
+    def sums(tokens: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(tokens) / SUMMED).cast("int")),
+                           lambda r: add(F.slice(tokens, r * SUMMED + 1, F.lit(SUMMED))))
+        before = let(runs, lambda rs: F.transform(rs, lambda r, i: add(F.slice(rs, F.lit(1), i))))
+        return F.struct(tokens.alias("n"), before.alias("before"))
+
+    return let(F.transform(lines, token_count), sums)
+
+
 def _token_sum(tokens: Column, start: Column, end: Column) -> Column:
-    return F.aggregate(F.slice(tokens, start, end - start + 1), F.lit(0), lambda a, n: a + n)
+    """Tokens of the lines from ``start`` to ``end``: line by line, or between sums of whole runs."""
+    def lines(first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(tokens["n"], first, count), F.lit(0), lambda a, n: a + n)
+
+    def up_to(line: Column) -> Column:
+        run = F.floor(line / SUMMED).cast("int")
+        return F.get(tokens["before"], run) + lines(run * SUMMED + 1, line - run * SUMMED)
+
+    return F.when(end - start < SUMMED, lines(start, end - start + 1)).otherwise(up_to(end) - up_to(start - 1))
 
 
 def _text(lines: Column, start: Column, end: Column) -> Column:
@@ -158,14 +222,14 @@ def _text(lines: Column, start: Column, end: Column) -> Column:
 
 
 def _analyse(content: Column, language: Column,
-             body: Callable[[Column, Column, Column], Column]) -> Column:
-    """Evaluate ``body(lines, tokens per line, units)``, each computed once per file.
+             body: Callable[[Column, Column, Column], Column], limits: Limits) -> Column:
+    """Evaluate ``body(lines, token sums, units)``, each computed once per file.
 
     Units are sorted by start line, outer before inner.
     """
     def with_lines(lines: Column) -> Column:
-        return let(F.transform(lines, token_count), lambda tokens: let(
-            _fold_units(_marks(lines, language), language),
+        return let(_token_sums(lines), lambda tokens: let(
+            _units(_marks(lines, language), language, limits.max_depth is not None),
             lambda units: body(lines, tokens, units)))
 
     return let(F.split(content, "\n", -1), with_lines)
@@ -188,7 +252,7 @@ def code_blocks(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
             u["start_line"].alias("start_line"), (-u["neg_end"]).alias("end_line"),
             _token_sum(tokens, u["start_line"], -u["neg_end"]).alias("token_count")))
 
-    found = _analyse(F.col("content"), F.col("language"), blocks)
+    found = _analyse(F.col("content"), F.col("language"), blocks, limits)
     # explode_outer: a plain explode adds a size filter that repeats the whole expression.
     rows = files.select("repo_id", "path", "language", F.explode_outer(found).alias("u"))
     return rows.where(F.col("u").isNotNull()).select("repo_id", "path", "language", "u.*")
@@ -246,30 +310,58 @@ def _header(language: Column, lines: Column, units: Column, limits: Limits) -> C
 def context_headers(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Context header of every file ('' where there is none)."""
     header = _analyse(F.col("content"), F.col("language"), lambda lines, tokens, units: _header(
-        F.col("language"), lines, units, limits))
+        F.col("language"), lines, units, limits), limits)
     return files.select("repo_id", "path", "language", header.alias("context_header"))
 
 
 def _selected(lines: Column, tokens: Column, units: Column, header: Column,
               limits: Limits) -> Column:
-    """Outermost units with a token count in range; units inside a kept one are not emitted."""
-    start = F.struct(F.lit(0).alias("covered"), _empty(CHUNK).alias("kept"))
+    """Outermost units with a token count in range; units inside a kept one are not emitted.
 
-    def add(s: Column, u: Column, end: Column, size: Column) -> Column:
-        chunk = F.struct(
-            u["start_line"].alias("start_line"), end.alias("end_line"), u["unit"].alias("unit"),
+    A unit of fitting size is kept if no other one that starts before it is still open, that is, if as many of them end
+    before its start as start before it. Only a line that both opens a unit and continues a signature lets units overlap
+    in part; such files are gone through unit by unit, past the end of the last one kept.
+    """
+    def sized(u: Column) -> Column:
+        return F.struct(u["start_line"].alias("start_line"), (-u["neg_end"]).alias("end_line"), u["unit"].alias("unit"),
+                        u["head"].alias("head"), _token_sum(tokens, u["start_line"], -u["neg_end"]).alias("size"))
+
+    def chunk(u: Column) -> Column:
+        return F.struct(
+            u["start_line"].alias("start_line"), u["end_line"].alias("end_line"), u["unit"].alias("unit"),
             F.get(lines, u["head"] - 1).alias("head"),
-            F.ltrim(_text(lines, u["start_line"], end), F.lit(" \t")).alias("content"),
-            header.alias("context_header"), size.alias("token_count"))
-        more = F.struct(end.alias("covered"), F.concat(s["kept"], F.array(chunk)).alias("kept"))
-        fits = (u["start_line"] > s["covered"]) & size.between(limits.min_tokens, limits.max_tokens)
-        return F.when(fits, more).otherwise(s)
+            F.ltrim(_text(lines, u["start_line"], u["end_line"]), F.lit(" \t")).alias("content"),
+            header.alias("context_header"), u["size"].alias("token_count"))
+
+    def one_by_one(fitting: Column) -> Column:
+        start = F.struct(F.lit(0).alias("covered"), _empty("int").alias("kept"))
+
+        def step(s: Column, u: Column) -> Column:
+            more = F.struct(u["end_line"].alias("covered"), F.concat(s["kept"], F.array(u["i"])).alias("kept"))
+            return F.when(u["start_line"] > s["covered"], more).otherwise(s)
+
+        placed = F.transform(fitting, lambda u, i: u.withField("i", i))
+        return F.aggregate(placed, start, step, lambda s: s["kept"])
+
+    def places(fitting: Column) -> Column:
+        ends = F.sort_array(F.transform(fitting, lambda u: u["end_line"]))
+        ended = _not_above(ends, F.transform(fitting, lambda u: u["start_line"] - 1))
+
+        def crossed(outer: Column, i: Column, p: Column) -> Column:
+            inside = F.slice(fitting, p + 1, F.coalesce(F.get(outer, i + 1), F.size(fitting)) - p)
+            return F.exists(inside, lambda u: u["end_line"] > F.get(fitting, p)["end_line"])
+
+        def checked(outer: Column) -> Column:
+            overlap = F.exists(F.transform(outer, lambda p, i: crossed(outer, i, p)), lambda x: x)
+            return F.when(overlap, one_by_one(fitting)).otherwise(outer)
+
+        return let(F.filter(F.transform(ended, lambda n, i: F.when(n == i, i)), lambda i: i.isNotNull()), checked)
 
-    def step(s: Column, u: Column) -> Column:
-        end = -u["neg_end"]
-        return let(_token_sum(tokens, u["start_line"], end), lambda size: add(s, u, end, size))
+    def outermost(fitting: Column) -> Column:
+        return F.transform(places(fitting), lambda p: let(F.get(fitting, p), chunk))
 
-    return F.aggregate(F.filter(units, _is_boundary(limits)), start, step, lambda s: s["kept"])
+    all_sized = F.transform(F.filter(units, _is_boundary(limits)), sized)
+    return let(F.filter(all_sized, lambda u: u["size"].between(limits.min_tokens, limits.max_tokens)), outermost)
 
 
 def _fallback(lines: Column, tokens: Column, content: Column, limits: Limits) -> Column:
@@ -310,10 +402,10 @@ def with_chunks(files: DataFrame, limits: Limits = DEFAULTS, boundaries: bool =
             _fallback(lines, tokens, content, limits)))
 
     if boundaries:
-        chunks = _analyse(content, language, chosen)
+        chunks = _analyse(content, language, chosen, limits)
     else:
         chunks = let(F.split(content, "\n", -1), lambda lines: let(
-            F.transform(lines, token_count),
+            _token_sums(lines),
             lambda tokens: _fallback(lines, tokens, content, limits)))
     return files.withColumn("chunks", chunks)
 

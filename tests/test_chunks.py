@@ -1,4 +1,7 @@
+import random
+
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sourceloom.functions import rules
@@ -311,3 +314,125 @@ def test_chunking_adds_no_shuffle_and_no_python(spark, sf_dir):
     plan = chunks.chunk_files(files)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert plan.count("Generate explode") == 1
+
+
+# Units by definition, one at a time -----------------------------------------------------------
+
+SNIPPETS = {
+    "python": ["import os", "from a import b", "class K{n}:", "def go{n}(a):", "async def w{n}():", "@first", "@second(", ")",
+               "    pass", "v = {n}", "# note", "", "return {n}", "'''text'''"],
+    "java": ["package q;", "import r;", "@Mark", "public class K{n} {", "  private int v{n};", "public void go{n}(int a) {", "}",
+             "@Override", "// note", "", "Make{n}(int a) {", "interface J{n} {", ") {"],
+    "cpp": ["#include <q>", "class K{n} {", "public:", "private: Make{n}(int a) {", "int go{n}(int b) {", "}", "{", "v = 1;",
+            "namespace s{n} {", "};", ""],
+    "typescript": ["import q from 'r';", "export class K{n} {", "@Mark()", "@Other(", "interface J{n} {", "go{n}(a) {", "}",
+                   "const w{n} = (a) => {", "};", "function u{n}() {", "", "v;", ") {"],
+    "ruby": ["require 'q'", "module S{n}", "class K{n}", "def go{n}", "end", "def self.w{n}", "v = 1", "", "# note"],
+}
+
+
+def random_files(seed, count, longest=50):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        language = rng.choice(list(SNIPPETS))
+        lines, indent = [], 0
+        for j in range(rng.randint(1, longest)):
+            indent = max(0, indent + rng.choice([-4, -2, 0, 0, 2, 4]))
+            at = indent if rng.random() < 0.8 else rng.choice([0, 2, 4])
+            lines.append(" " * at + rng.choice(SNIPPETS[language]).replace("{n}", str(j)))
+        rows.append(("r", f"f{i}", "\n".join(lines), language))
+    return rows
+
+
+def plain_units(content, language):
+    """(start, end, type, indent, depth) of every unit, from the definition."""
+    def kind(line):
+        for b in rules.BOUNDARIES[language]:
+            if regex.search(b.pattern, line) and not (b.unless and regex.search(b.unless, line)):
+                return b.type
+        return rules.IMPORT_TYPE if regex.search(rules.IMPORTS[language], line) else None
+
+    marks = []
+    for no, line in enumerate(content.split("\n"), 1):
+        unit = kind(line)
+        if line.strip(" \t") and (unit or not regex.search(rules.COMMENTS[language], line)):
+            marks.append((no, len(line) - len(line.lstrip(" \t")), unit, *[
+                bool(regex.search(p, line)) for p in (rules.CLOSER, rules.CONTINUATION, rules.DECORATOR)]))
+    units, stops = [], []
+    for i, (no, indent, unit, *_) in enumerate(marks):
+        if unit is None:
+            continue
+        stop = next((j for j in range(i + 1, len(marks)) if marks[j][1] <= indent and not marks[j][4]), None)
+        end = (marks[-1][0] if stop is None else
+               marks[stop][0] if marks[stop][3] and marks[stop][1] == indent else marks[stop - 1][0])
+        deco = None
+        for m in reversed(marks[:i]):
+            if m[1] <= indent and not m[4]:
+                if not (m[5] and m[1] == indent):
+                    break
+                deco = m[0]
+        wrap = deco and unit in rules.DECORATED_WRAP.get(language, [])
+        depth = sum(1 + w for (at, w) in stops if at is None or at > no)
+        stops.append((None if stop is None else marks[stop][0], 1 if wrap else 0))
+        if wrap:
+            units.append((deco, end, rules.WRAPPED_TYPE, indent, depth))
+        pull = deco and unit in rules.DECORATED_PULL.get(language, [])
+        units.append((deco if pull else no, end, unit, indent, depth + (1 if wrap else 0)))
+    return sorted(units, key=lambda u: (u[0], -u[1]))
+
+
+@pytest.mark.parametrize("seed,limits", [(1, ANY_SIZE), (2, Limits(min_tokens=3, max_tokens=40, max_depth=3)),
+                                         (3, Limits(min_tokens=8, max_tokens=25))])
+def test_units_and_chunks_of_random_files_equal_the_definition(spark, seed, limits):
+    rows = random_files(seed, 250)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    tokens = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]")
+    blocks_wanted, chunks_wanted = set(), set()
+    for _, path, content, language in rows:
+        count = [len(tokens.findall(line)) for line in content.split("\n")]
+        covered, kept = 0, []
+        for start, end, unit, indent, depth in plain_units(content, language):
+            if unit == rules.IMPORT_TYPE or (limits.max_depth is not None and depth > limits.max_depth):
+                continue
+            size = sum(count[start - 1:end])
+            blocks_wanted.add((path, unit, indent, start, end, size))
+            if start > covered and limits.min_tokens <= size <= limits.max_tokens:
+                kept.append((path, start, end, size))
+                covered = end
+        chunks_wanted |= set(kept)
+    got = chunks.code_blocks(df, limits).collect()
+    assert {(r.path, r.boundary_type, r.indent, r.start_line, r.end_line, r.token_count) for r in got} == blocks_wanted
+    found = {(r.file_path, r.start_line, r.end_line, r.token_count) for r in chunks.chunk_files(df, limits).collect()}
+    with_units = {c[0] for c in chunks_wanted}
+    assert {f for f in found if f[0] in with_units} == chunks_wanted and chunks_wanted
+
+
+def test_token_sums_over_many_lines(spark):
+    from sourceloom.functions.text import let
+
+    content = "\n".join("a " * (i % 5) for i in range(1000))
+    spans = [(1, 1000), (1, 128), (128, 256), (129, 900), (500, 500), (872, 1000), (1, 129), (384, 512)]
+    sums = [chunks._token_sum(F.col("t"), F.lit(a), F.lit(b)).alias(f"s{i}") for i, (a, b) in enumerate(spans)]
+    lines = F.split("content", "\n", -1)
+    got = frame(spark, content, None).select(let(lines, chunks._token_sums).alias("t")).select(*sums).first()
+    assert list(got) == [sum(i % 5 for i in range(a - 1, b)) for a, b in spans]
+
+
+def test_work_grows_with_the_lines(spark):
+    """20,000 units in 300 KB: the time per unit stays about that of a file a quarter as large."""
+    import time
+
+    def seconds(units):
+        content = "class K:\n" + "".join(f"  def f{i}():\n" for i in range(units))
+        df = frame(spark, content, "python")
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert chunks.code_blocks(df).count() == units + 1
+            chunks.chunk_files(df, ANY_SIZE).write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    small, large = seconds(5_000), seconds(20_000)
+    assert large < 8 * small, (small, large)
