@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,13 +37,48 @@ def cut(df: DataFrame) -> DataFrame:
     The shuffle files of the step are not needed once it is written, so Spark is asked to free them then: a chain
     of steps takes the disk of its largest.
     """
+    shared_dir(df.sparkSession)
+    with _step(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table: compressed, and read by columns. The table stays in the shared folder."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_parts(df))
+
+
+def written_parts(df: DataFrame, *parts: str) -> str:
+    """Write ``df`` to a new folder of the shared one, with a folder ``name=value`` for each value of ``parts``."""
     spark = df.sparkSession
-    shared_dir(spark)
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    with _step(spark):
+        df.write.partitionBy(*parts).parquet(path)
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+@contextmanager
+def _step(spark: SparkSession) -> Iterator[None]:
     before = {key: spark.conf.get(key) for key in STEP}
     for key, value in STEP.items():
         spark.conf.set(key, value)
     try:
-        return df.select("*").checkpoint()
+        yield
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

@@ -40,7 +40,7 @@ def test_many_groups_names_by_bytes_and_null_fields(spark):
 
 
 def test_one_row_repeated_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(manifest, "SPREAD", 1)
+    monkeypatch.setattr(manifest, "STOREY", 1)
     rows = [(5, "s", "en", 3, "a\nb", None, None, None, None, None)] * 300
     rows += [(None, None, None, None, "x\n" * 500_000, None, None, None, None, None)] * 3
     got = check(spark.createDataFrame(rows, SCHEMA).repartition(4))
