@@ -46,12 +46,30 @@ def test_every_character_splits_like_the_library():
     assert "".join(own.findall(text)) == text
 
 
-def test_decode_joins_in_order_and_id_lists(spark, docs):
-    tokens = byte_bpe.token_bytes(spark, RANKS)
+def test_decode_and_id_lists(spark, docs):
     ids = byte_bpe.encoder(RANKS, PATTERN).encode_ordinary("Grüße, 世界 and more")
-    encoded = spark.createDataFrame([("a", ids), ("b", []), ("c", ids[::-1] + [999_999])], "word string, ids array<int>")
-    got = {r.word: bytes(r.decoded) for r in byte_bpe.decode(encoded, tokens).collect()}
+    packed = lambda v: np.array(v, "<u4").tobytes()
+    rows = [("a", packed(ids)), ("b", b""), ("c", packed(ids[::-1] + [999_999, 2**32 - 1])), ("d", None)]
+    encoded = spark.createDataFrame(rows, "key string, ids binary")
+    got = {r.key: r.decoded and bytes(r.decoded) for r in byte_bpe.decode(encoded, RANKS).collect()}
     table = {v: k for k, v in byte_bpe.read_ranks(RANKS).items()}
-    assert got == {"a": "Grüße, 世界 and more".encode(), "b": b"", "c": b"".join(table[i] for i in ids[::-1])}
-    lists = byte_bpe.id_lists(byte_bpe.round_trip(docs, RANKS, PATTERN))
-    assert all(len(r.ids) == 0 or max(r.ids) < 50_256 for r in lists.collect())
+    assert got == {"a": "Grüße, 世界 and more".encode(), "b": b"", "c": b"".join(table[i] for i in ids[::-1]), "d": None}
+    lists = byte_bpe.id_lists(byte_bpe.encode(docs, RANKS, PATTERN))
+    whole = byte_bpe.encoder(RANKS, PATTERN)
+    assert {(r.doc_id, tuple(r.ids)) for r in lists.collect()} == {
+        (r.doc_id, tuple(whole.encode_ordinary(r.text or ""))) for r in docs.collect()}
+
+
+def test_every_distinct_word_is_encoded_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BATCH_CHARS", 500)
+    monkeypatch.setattr(byte_bpe, "ANSWER_IDS", 100)
+    asked = byte_bpe.requests(byte_bpe.split(docs, PATTERN, "doc_id", "text").where("part = 'words'")).cache()
+    answers = byte_bpe.encode_words(asked, RANKS, PATTERN).collect()
+    assert sum(len(byte_bpe._unpacked(r.places)) for r in answers) == asked.count() > asked.select("word").distinct().count()
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 0, 5]):
+        assert byte_bpe._unpacked(byte_bpe._packed(np.array(numbers, np.uint32))).tolist() == numbers
+    with pytest.raises(ValueError):
+        byte_bpe._packed(np.array([2**28], np.uint32))
