@@ -38,6 +38,18 @@ def features(text: Column | str) -> Column:
     return F.coalesce(let(hashed, encode), F.expr(EMPTY_FEATURES))
 
 
+def folded(text: Column | str, dims: int = 64) -> Column:
+    """Dense word counts: buckets folded into ``dims`` places, each added or subtracted by its own sign."""
+    def fold(f: Column) -> Column:
+        pairs = F.arrays_zip(f["buckets"].alias("b"), f["tfs"].alias("n"))
+        signed = F.transform(pairs, lambda p: F.struct(
+            (p["b"] % dims).alias("d"), F.when(F.floor(p["b"] / dims) % 2 == 1, p["n"]).otherwise(-p["n"]).alias("n")))
+        return let(signed, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(
+            F.filter(ps, lambda p: p["d"] == d), F.lit(0), lambda a, p: a + p["n"]).cast("float")))
+
+    return let(features(text), fold)
+
+
 def squared_norm(counts: Column | str) -> Column:
     """Exact integer squared norm of an array of counts."""
     return F.aggregate(

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
+from sourceloom.functions.text import token_count
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -22,6 +27,8 @@ class Limits:
     default_top_k: int = 8
     max_top_k: int = 20           # also the over-fetch ceiling
     list_limit: int = 50          # rows of a repository listing
+    # How the tokens of a text column are counted, wherever sizes are compared with the numbers above.
+    count_tokens: Callable[[Column], Column] = token_count
 
     def files_cap(self, max_files: int | None = None) -> int | None:
         """0 and None both mean "use the default"."""

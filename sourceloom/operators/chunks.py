@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions import rules
 from sourceloom.functions.text import (
-    basename, chunk_id, is_blank, let, strip, token_count,
+    basename, chunk_id, is_blank, let, strip,
 )
 from sourceloom.limits import DEFAULTS, Limits
 
@@ -191,7 +191,7 @@ def _units(marks: Column, language: Column, with_depth: bool) -> Column:
 SUMMED = 128     # lines whose tokens are summed together
 
 
-def _token_sums(lines: Column) -> Column:
+def _token_sums(lines: Column, limits: Limits = DEFAULTS) -> Column:
     """Tokens per line (``n``), and before each run of ``SUMMED`` lines (``before``)."""
     def add(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda a, n: a + n)
@@ -202,7 +202,7 @@ def _token_sums(lines: Column) -> Column:
         before = let(runs, lambda rs: F.transform(rs, lambda r, i: add(F.slice(rs, F.lit(1), i))))
         return F.struct(tokens.alias("n"), before.alias("before"))
 
-    return let(F.transform(lines, token_count), sums)
+    return let(F.transform(lines, lambda line: limits.count_tokens(line)), sums)
 
 
 def _token_sum(tokens: Column, start: Column, end: Column) -> Column:
@@ -228,7 +228,7 @@ def _analyse(content: Column, language: Column,
     Units are sorted by start line, outer before inner.
     """
     def with_lines(lines: Column) -> Column:
-        return let(_token_sums(lines), lambda tokens: let(
+        return let(_token_sums(lines, limits), lambda tokens: let(
             _units(_marks(lines, language), language, limits.max_depth is not None),
             lambda units: body(lines, tokens, units)))
 
@@ -296,7 +296,7 @@ def _header(language: Column, lines: Column, units: Column, limits: Limits) -> C
         lambda u: _text(lines, u["start_line"], -u["neg_end"]))
     doc = F.when(language == "python", _docstring(lines)).otherwise(_empty("string"))
     sized = F.transform(F.concat(doc, imports),
-                        lambda p: F.struct(p.alias("text"), token_count(p).alias("n")))
+                        lambda p: F.struct(p.alias("text"), limits.count_tokens(p).alias("n")))
     start = F.struct(_empty("string").alias("kept"), F.lit(0).alias("n"))
 
     def step(s: Column, p: Column) -> Column:
@@ -405,7 +405,7 @@ def with_chunks(files: DataFrame, limits: Limits = DEFAULTS, boundaries: bool =
         chunks = _analyse(content, language, chosen, limits)
     else:
         chunks = let(F.split(content, "\n", -1), lambda lines: let(
-            _token_sums(lines),
+            _token_sums(lines, limits),
             lambda tokens: _fallback(lines, tokens, content, limits)))
     return files.withColumn("chunks", chunks)
 
@@ -430,7 +430,7 @@ def _unit_name(language: Column, unit: Column, head: Column, content: Column) ->
 def explode_chunks(files: DataFrame, boundaries: bool = True) -> DataFrame:
     """One row per chunk from the output of ``with_chunks``."""
     c = files.select("repo_id", "path", "language", F.explode_outer("chunks").alias("c"))
-    c = c.where(F.col("c").isNotNull())
+    c = c.where(F.col("c").isNotNull() & F.col("repo_id").isNotNull() & F.col("path").isNotNull())
     name = F.concat(basename("path"), F.coalesce(F.col("c.head"), F.lit("")))
     kind = F.lit("module")
     if boundaries:
@@ -446,6 +446,18 @@ def explode_chunks(files: DataFrame, boundaries: bool = True) -> DataFrame:
     )
 
 
+def chunk_outcomes(chunked: DataFrame) -> DataFrame:
+    """(repo_id, path, chunk_count, error) of every file of ``with_chunks``; a file that could not be chunked says why.
+
+    The expressions of a file give null instead of raising, so a file without content, without a path or without a
+    repository (which have no chunk ids) is a row here and the other files are chunked.
+    """
+    reason = (F.when(F.col("repo_id").isNull(), "no repository").when(F.col("path").isNull(), "no path")
+              .when(F.col("content").isNull(), "no content").when(F.col("chunks").isNull(), "not chunked"))
+    return chunked.select("repo_id", "path", F.when(reason.isNull(), F.size("chunks")).otherwise(F.lit(0)).alias("chunk_count"),
+                          reason.alias("error"))
+
+
 def chunk_files(files: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """Chunks of all files: boundary units where they exist, line windows elsewhere."""
     return explode_chunks(with_chunks(files, limits))

@@ -80,6 +80,25 @@ def repo_latest(events: DataFrame) -> DataFrame:
         F.max_by("ts", "seq").alias("updated_at"))
 
 
+def run_stamp(at: Column | None = None) -> Column:
+    """Name of a run that starts ``at`` (now): date and time to the second."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
+
+
+def elapsed_ms(start: Column | str, end: Column | str) -> Column:
+    """Whole milliseconds from ``start`` to ``end``; null if either is."""
+    return F.unix_millis(as_column(end).cast("timestamp")) - F.unix_millis(as_column(start).cast("timestamp"))
+
+
+def job_durations(events: DataFrame) -> DataFrame:
+    """Seconds from the first ``cloning`` of a repository to its last end (ready or failed); null while it runs."""
+    ended = F.max(F.when(F.col("status").isin("ready", "failed"), F.col("ts")))
+    started = F.min(F.when(F.col("status") == "cloning", F.col("ts")))
+    spans = events.groupBy("repo_id").agg(started.alias("started_at"), ended.alias("ended_at"))
+    seconds = elapsed_ms("started_at", "ended_at") / 1000
+    return spans.withColumn("duration_seconds", F.when(F.col("ended_at") >= F.col("started_at"), seconds))
+
+
 def repo_list(repos: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     """The newest repositories with a known status, with the true total and the returned number."""
     known = repos.where(F.col("status").isin(rules.STATES))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.text import as_column, location
-from sourceloom.functions.vector import features, squared_norm
 from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators.search import fetch_k
+from sourceloom.operators.vectors import WORD_COUNTS, Encoder, encoded
 
 # Texts of the prompt.
 SYSTEM_PROMPT = """You are an expert code analyst. You are given relevant source code excerpts from a repository and must answer questions about the codebase accurately.
@@ -21,6 +21,7 @@ Rules:
 5. When referencing function names, class names, or variables, use backticks (e.g., `process_payment`).
 """
 NO_CONTEXT = "(No relevant code context found)"
+CONTEXT_HEADING, QUESTION_HEADING = "## Retrieved Code Context", "## Question"
 CLOSING = "Please answer the question using the code context above. Cite sources for all specific claims."
 
 MAX_BROADCAST_HITS = 500_000    # rows of ids and numbers, some tens of megabytes
@@ -35,13 +36,16 @@ def with_bounds(questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     return filled.where(F.col("top_k").between(1, limits.max_top_k))
 
 
-def with_question_vectors(questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+def answerable(questions: DataFrame, repos: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+    """The gate: questions with a valid ``top_k`` whose repository is ready. Everything after it sees only these."""
+    ready = repos.where(F.col("status") == "ready").select("repo_id")
+    return with_bounds(questions, limits).join(ready, "repo_id", "left_semi")
+
+
+def with_question_vectors(questions: DataFrame, limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS) -> DataFrame:
     """Vectorize questions in the space of the chunks and add ``fetch_k``."""
-    one = questions.select(
-        "question_id", "repo_id", fetch_k("top_k", limits).alias("fetch_k"),
-        F.explode_outer(F.array(features("question"))).alias("_v"))
-    return one.select("question_id", "repo_id", "fetch_k", "_v.buckets", "_v.tfs",
-                      squared_norm("_v.tfs").alias("norm2"))
+    rows = questions.select("question_id", "repo_id", fetch_k("top_k", limits).alias("fetch_k"), "question")
+    return encoded(rows, F.col("question"), ["question_id", "repo_id", "fetch_k"], encoder).drop("encoder")
 
 
 def _keep_disjoint(hits: Column) -> Column:
@@ -124,8 +128,8 @@ def context_block(sources: Column | str) -> Column:
 
 def user_message(repo_name: Column | str, question: Column | str, context: Column | str) -> Column:
     return F.concat(
-        F.lit("Repository: "), as_column(repo_name), F.lit("\n\n## Retrieved Code Context\n\n"),
-        as_column(context), F.lit("\n\n## Question\n\n"), as_column(question),
+        F.lit("Repository: "), as_column(repo_name), F.lit(f"\n\n{CONTEXT_HEADING}\n\n"),
+        as_column(context), F.lit(f"\n\n{QUESTION_HEADING}\n\n"), as_column(question),
         F.lit("\n\n" + CLOSING))
 
 

@@ -9,6 +9,7 @@ from sourceloom.functions.text import as_column
 
 # Cuts and names of trace records.
 CONTENT_CUT, CONTEXT_CHUNKS, CONTEXT_CUT = 300, 3, 500
+SKETCH_BITS = 7
 QUERY_TRACE, INGEST_TRACE, SCORE_PREFIX = "codebase-query", "repo-ingestion", "RAGAS "
 
 
@@ -63,17 +64,45 @@ def scored_traces(traces: DataFrame, scores: DataFrame) -> DataFrame:
     return traces.join(scores, "trace_id")
 
 
-def usage_by_model(traces: DataFrame) -> DataFrame:
-    """Requests, tokens and latency per model.
+def latency_bucket(latency: Column | str) -> Column:
+    """The middle of the bucket of a latency: numbers below 2**``SKETCH_BITS`` are their own, above that buckets hold the
+    numbers with equal leading ``SKETCH_BITS`` bits. The middle is off by at most 1 / 2**``SKETCH_BITS`` of the value.
+    """
+    value = F.greatest(as_column(latency).cast("bigint"), F.lit(0).cast("bigint"))
+    low_bits = F.greatest(F.length(F.bin(value)) - SKETCH_BITS, F.lit(0))
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), low_bits)
+    return (F.call_function("shiftright", value, low_bits) * width + F.floor(width / 2)).cast("bigint")
+
+
+def usage_sketches(traces: DataFrame, *keys: str) -> DataFrame:
+    """Mergeable usage per ``keys`` (``model`` among them, others a day, say) and latency bucket.
+
+    A model has at most ``SKETCH_BITS`` - 1 bits' worth of buckets for each of 63 bit lengths, whatever its number of
+    requests or of distinct latencies.
+    """
+    return traces.groupBy(*keys, latency_bucket("latency_ms").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("usage.input").alias("input"), F.sum("usage.output").alias("output"),
+        F.sum("usage.total").alias("total"), F.sum(F.col("latency_ms").cast("bigint")).alias("latency"))
 
-    The exact median is taken over distinct latencies with their counts, not over single requests.
+
+def merge_usage(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of several days, or parts of a day, added up over ``keys``."""
+    return sketches.groupBy(*keys, "bucket").agg(
+        *[F.sum(c).alias(c) for c in ("n", "input", "output", "total", "latency")])
+
+
+def sketch_usage(sketches: DataFrame, share: float = 0.5) -> DataFrame:
+    """Requests, tokens and latency per model from its sketch. Counts, sums and the mean are exact; the median (or another
+    ``share``) is that of the buckets.
     """
-    counted = traces.groupBy("model", "latency_ms").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("usage.input").alias("i"),
-        F.sum("usage.output").alias("o"), F.sum("usage.total").alias("t"))
-    return counted.groupBy("model").agg(
-        F.sum("n").alias("requests"), F.sum("i").alias("prompt_tokens"),
-        F.sum("o").alias("completion_tokens"), F.sum("t").alias("total_tokens"),
-        (F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n")).alias("avg_latency_ms"),
-        F.percentile("latency_ms", F.lit(0.5), F.col("n")).alias("median_latency_ms"),
+    return sketches.groupBy("model").agg(
+        F.sum("n").alias("requests"), F.sum("input").alias("prompt_tokens"),
+        F.sum("output").alias("completion_tokens"), F.sum("total").alias("total_tokens"),
+        (F.sum("latency") / F.sum("n")).alias("avg_latency_ms"),
+        F.percentile("bucket", F.lit(share), F.col("n")).alias("median_latency_ms"),
     ).withColumn("provider", provider("model"))
+
+
+def usage_by_model(traces: DataFrame) -> DataFrame:
+    """Requests, tokens and latency per model; the median within 1 / 2**``SKETCH_BITS`` of the value."""
+    return sketch_usage(merge_usage(usage_sketches(traces, "model"), "model"))

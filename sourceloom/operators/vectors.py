@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceloom.functions.text import embedding_text
-from sourceloom.functions.vector import features, squared_norm
+from sourceloom.functions.vector import features, folded, squared_norm
 from sourceloom.limits import DEFAULTS, Limits
 
 METADATA = ["repo_id", "file_path", "language", "node_type", "node_name", "start_line", "end_line",
             "token_count"]
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """Texts to vectors, for chunks and questions alike.
+
+    ``encode`` maps a text column to a struct (buckets, tfs) for kind ``sparse``, or to an array of floats of one length
+    for kind ``dense``; it may be built of column functions or be a ``pandas_udf``. ``name`` is stored beside the vectors,
+    and a search sees only vectors of its own encoder, so vectors of two encoders can lie in one store.
+    """
+    name: str
+    kind: str
+    encode: Callable[[Column], Column]
+    digits: int = 4           # places of a dense score
+
+    def __post_init__(self):
+        if self.kind not in ("sparse", "dense"):
+            raise ValueError(f"unknown kind of vectors: {self.kind}")
+
+    @property
+    def columns(self) -> list[str]:
+        return ["buckets", "tfs", "norm2"] if self.kind == "sparse" else ["vector"]
+
+
+WORD_COUNTS = Encoder("word-counts-1024", "sparse", features)
+FOLDED_COUNTS = Encoder("folded-counts-64", "dense", folded)
+
+
+def encoded(rows: DataFrame, text: Column, keep: list[str], encoder: Encoder = WORD_COUNTS) -> DataFrame:
+    """``keep`` with the vector of ``text`` and the name of its encoder. Map-only."""
+    if encoder.kind == "sparse":
+        vectors = sparse_vectors(rows, text, keep, encoder.encode)
+    else:
+        vectors = rows.select(*keep, encoder.encode(text).alias("vector"))
+    return vectors.withColumn("encoder", F.lit(encoder.name))
+
+
 def chunk_text() -> Column:
     """The text of a chunk row that is vectorized."""
     return embedding_text("context_header", "node_type", "node_name", "content")
@@ -26,12 +64,13 @@ def vector_metadata(chunks: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
     return chunks.select("id", *METADATA, content)
 
 
-def sparse_vectors(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
+def sparse_vectors(rows: DataFrame, text: Column, keep: list[str],
+                   encode: Callable[[Column], Column] = features) -> DataFrame:
     """One sparse vector per row: distinct buckets, their counts, and the squared norm.
 
     Hashing and counting happen inside the row, so this adds no shuffle.
     """
-    vectors = rows.select(*keep, features(text).alias("_f"))
+    vectors = rows.select(*keep, encode(text).alias("_f"))
     # A generator keeps the counts from being computed again by later column references.
     one = vectors.select(*keep, F.explode_outer(F.array("_f")).alias("_v"))
     return one.select(*keep, "_v.buckets", "_v.tfs", squared_norm("_v.tfs").alias("norm2"))

@@ -8,33 +8,58 @@ from pyspark.sql import functions as F
 from sourceloom.limits import DEFAULTS, Limits
 from sourceloom.operators.repos import repo_name
 from sourceloom.operators.retrieve import (
-    hits_with_metadata, prompts, rag_sources, with_bounds, with_question_vectors,
+    answerable, hits_with_metadata, prompts, query_gate, rag_sources, with_bounds, with_question_vectors,
 )
-from sourceloom.operators.search import search_sparse
-from sourceloom.operators.vectors import chunk_vectors, vector_metadata
+from sourceloom.operators.search import search_dense, search_sparse
+from sourceloom.operators.vectors import WORD_COUNTS, Encoder, chunk_text, encoded, vector_metadata
 
 
-def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
+def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS,
+              encoder: Encoder = WORD_COUNTS) -> DataFrame:
     """Ranked hits of every question in its repository.
 
-    ``chunks`` may be stored rows with their vectors; without vectors they are made here.
+    ``chunks`` may be stored rows with vectors, of which those of ``encoder`` are searched; without vectors they are made
+    here.
     """
-    vectors = chunks if "buckets" in chunks.columns else chunk_vectors(chunks)
-    columns = ["id", "repo_id", "buckets", "tfs", "norm2"]
-    return search_sparse(vectors.select(*columns), with_question_vectors(questions, limits))
+    if "encoder" in chunks.columns:
+        if not set(encoder.columns) <= set(chunks.columns):
+            raise ValueError(f"chunks hold no vectors of {encoder.name}")
+        vectors = chunks.where(F.col("encoder") == encoder.name)
+    elif encoder.columns[0] in chunks.columns:
+        vectors = chunks
+    else:
+        vectors = encoded(chunks, chunk_text(), ["id", "repo_id"], encoder)
+    vectors = vectors.select("id", "repo_id", *encoder.columns)
+    asked = with_question_vectors(questions, limits, encoder)
+    if encoder.kind == "sparse":
+        return search_sparse(vectors, asked)
+    return search_dense(vectors, asked, encoder.digits)
 
 
-def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS) -> DataFrame:
-    """Sources of every question with a valid ``top_k``: search, metadata, overlap removal, trim to ``top_k``."""
-    questions = with_bounds(questions, limits)
-    hits = hits_with_metadata(find_hits(chunks, questions, limits), vector_metadata(chunks, limits),
+def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS,
+                   repos: DataFrame | None = None) -> DataFrame:
+    """Sources of every question with a valid ``top_k``: search, metadata, overlap removal, trim to ``top_k``.
+
+    With ``repos`` (repo_id, status), only questions to ready repositories are searched.
+    """
+    questions = with_bounds(questions, limits) if repos is None else answerable(questions, repos, limits)
+    if "encoder" in chunks.columns:
+        chunks = chunks.where(F.col("encoder") == encoder.name)
+    hits = hits_with_metadata(find_hits(chunks, questions, limits, encoder), vector_metadata(chunks, limits),
                               questions, limits)
     return rag_sources(hits, questions)
 
 
 def question_prompts(chunks: DataFrame, questions: DataFrame, repos: DataFrame,
-                     limits: Limits = DEFAULTS) -> DataFrame:
-    """Prompt rows. ``repos``: repo_id, url."""
-    named = with_bounds(questions, limits).join(repos.select("repo_id", "url"), "repo_id", "left").withColumn(
+                     limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS) -> DataFrame:
+    """Prompt rows of the questions that pass the gate. ``repos``: repo_id, url, status."""
+    asked = answerable(questions, repos, limits)
+    named = asked.join(repos.select("repo_id", "url"), "repo_id", "left").withColumn(
         "repo_name", F.coalesce(repo_name("url"), F.col("repo_id")))
-    return prompts(named, answer_sources(chunks, questions, limits))
+    return prompts(named, answer_sources(chunks, asked, limits, encoder))
+
+
+def question_outcomes(chunks: DataFrame, questions: DataFrame, repos: DataFrame,
+                      limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS) -> DataFrame:
+    """Outcome of every question; only those that pass the gate are searched."""
+    return query_gate(questions, repos, find_hits(chunks, answerable(questions, repos, limits), limits, encoder), limits)

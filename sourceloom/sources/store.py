@@ -56,7 +56,9 @@ def upsert_store(spark: SparkSession, incoming: DataFrame, store: str) -> None:
         merged = upsert(incoming.limit(0), incoming)
     else:
         touched = incoming.select("repo_id").distinct()
-        merged = upsert(live.join(touched, "repo_id", "left_semi").select(*incoming.columns), incoming)
+        # A store written before a column existed has no values there.
+        old = [F.col(f.name) if f.name in live.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema]
+        merged = upsert(live.join(touched, "repo_id", "left_semi").select(*old), incoming)
     # Rebalancing splits a large repository over several files and merges small ones.
     (merged.hint("rebalance", "repo_id").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{store}/chunks"))

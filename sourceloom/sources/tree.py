@@ -7,31 +7,37 @@ from pyspark.sql import functions as F
 
 from sourceloom.functions.text import decode_utf8
 from sourceloom.limits import DEFAULTS, Limits
-from sourceloom.operators.files import has_size
+from sourceloom.operators.files import is_eligible
 
 EVAL_PAIRS = "question string, ground_truth string"
 
 
 def scan_tree(spark: SparkSession, root: str, repo_id: Column | str | None = None,
-              limits: Limits = DEFAULTS, max_bytes: int | None = None) -> DataFrame:
+              limits: Limits = DEFAULTS, max_bytes: int | None = None, glob_skip: bool = True,
+              every_file: bool = False) -> DataFrame:
     """Files below ``root`` as repo_id, path, size, content.
 
-    A size bound is pushed into the scan, so larger files are never read. By default the first
-    directory level names the repository and the rest is the path inside it.
+    By default the first directory level names the repository and the rest is the path inside it. Names, directories,
+    languages and sizes are judged on the listing, before any file is opened: the conditions are on file metadata, which
+    Spark applies to the list of files, so skipped directories and files are not read. With ``every_file`` all are read
+    (for ``file_outcomes``). Spark lists no empty files, and no names that begin with
+    ``_`` or ``.``.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .where(has_size("length", limits.bytes_cap(max_bytes)))
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    inside = F.substring(
-        F.col("path"), F.locate(base + "/", F.col("path")) + len(base) + 1, 1 << 20)
-    if repo_id is None:
+
+    def parts(whole: Column) -> tuple[Column, Column]:
+        inside = F.substring(whole, F.locate(base + "/", whole) + len(base) + 1, 1 << 20)
+        if repo_id is not None:
+            return (F.lit(repo_id) if isinstance(repo_id, str) else repo_id), inside
         name = F.substring_index(inside, "/", 1)
-        path = F.substring(inside, F.length(name) + 2, 1 << 20)
-    else:
-        name = F.lit(repo_id) if isinstance(repo_id, str) else repo_id
-        path = inside
+        return name, F.substring(inside, F.length(name) + 2, 1 << 20)
+
+    if not every_file:
+        # Listed paths are addresses, in which blanks and some other characters are escaped.
+        listed = parts(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))[1]
+        files = files.where(is_eligible(limits.bytes_cap(max_bytes), glob_skip, F.col("_metadata.file_size"), listed))
+    name, path = parts(F.col("path"))
     return files.select(name.alias("repo_id"), path.alias("path"),
                         F.col("length").alias("size"), decode_utf8("content").alias("content"))
 

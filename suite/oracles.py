@@ -328,6 +328,27 @@ hit AS (
                          AS rank FROM scored) s JOIN question USING (question_id)
   WHERE rank <= least(top_k * 2, {DEFAULTS.max_top_k}))"""
 
+FOLDED_HITS = f"""
+folded AS (
+  SELECT id, repo_id, list(coalesce(v, 0) ORDER BY d)::DOUBLE[] AS v FROM (SELECT DISTINCT id, repo_id FROM feature), range(64) a(d)
+  LEFT JOIN (SELECT id AS fid, bucket % 64 AS fd, sum(CASE WHEN bucket // 64 % 2 = 1 THEN tf ELSE -tf END) AS v
+             FROM feature GROUP BY ALL) ON fid = id AND fd = d GROUP BY ALL),
+question_folded AS (
+  SELECT question_id, list(coalesce(v, 0) ORDER BY d)::DOUBLE[] AS v FROM question, range(64) a(d)
+  LEFT JOIN (SELECT question_id AS fid, bucket % 64 AS fd, sum(CASE WHEN bucket // 64 % 2 = 1 THEN tf ELSE -tf END) AS v
+             FROM (SELECT question_id, {bucket('w')} AS bucket, count(*) AS tf FROM (
+               SELECT question_id, unnest({words('question')}) AS w FROM question) GROUP BY ALL) GROUP BY ALL)
+    ON fid = question_id AND fd = d GROUP BY question_id),
+scored AS (
+  SELECT question_id, f.repo_id, f.id, list_dot_product(q.v, f.v) AS dot,
+         list_dot_product(q.v, q.v) * list_dot_product(f.v, f.v) AS product, top_k
+  FROM question_folded q JOIN question USING (question_id) JOIN folded f ON f.repo_id = question.repo_id),
+hit AS (
+  SELECT * FROM (
+    SELECT question_id, repo_id, id, round(dot / sqrt(product), 4) AS score, top_k,
+           row_number() OVER (PARTITION BY question_id ORDER BY round(dot / sqrt(product), 4) DESC, id)::INTEGER AS rank
+    FROM scored WHERE product > 0) WHERE rank <= least(top_k * 2, {DEFAULTS.max_top_k}))"""
+
 FOLD = """list_reduce(list_transform(hs, lambda x: [x]), lambda k, r: CASE WHEN len(list_filter(k,
     lambda y: y.file_path = r[1].file_path AND NOT (r[1].end_line < y.start_line OR r[1].start_line > y.end_line))) > 0
     THEN k ELSE list_concat(k, r) END)"""
@@ -485,6 +506,20 @@ def sql() -> dict[str, str]:
             SELECT repo_id, path, size, language, length(content)::INTEGER AS n_chars FROM eligible"""),
         "eligible_files_capped": with_(FILES, eligible(CAP, False, BOUNDED.max_bytes), select=(
             "SELECT repo_id, path, language FROM eligible")),
+        "file_outcomes": with_(FILES, f"""judged AS (
+            SELECT repo_id, path, CASE WHEN size < 1 THEN 'empty' WHEN size > {BOUNDED.max_bytes} THEN 'too_large'
+                WHEN language IS NULL THEN 'no_language' WHEN {skipped_name(True)} THEN 'skipped_name'
+                WHEN {IN_SKIPPED_DIR} THEN 'skipped_dir' WHEN size BETWEEN 100 AND 127 THEN 'unreadable'
+                WHEN NOT regexp_matches(content, {lit(text.NON_SPACE)}) THEN 'blank' ELSE 'eligible' END AS outcome
+            FROM files)""", select=f"""
+            SELECT repo_id, path, CASE WHEN outcome = 'eligible' AND row_number() OVER (
+                PARTITION BY repo_id, outcome ORDER BY string_split(path, '/')) > {CAP} THEN 'over_cap' ELSE outcome END
+                AS outcome FROM judged"""),
+        "chunk_outcomes": with_(*ALL_CODE, select="""
+            SELECT c.repo_id, c.path, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE coalesce(n, 0) END::INTEGER AS chunk_count,
+                   CASE WHEN doc_id % 11 = 0 THEN 'no content' END AS error
+            FROM code c LEFT JOIN (SELECT repo_id, file_path AS path, count(*) AS n FROM chunks GROUP BY ALL)
+              USING (repo_id, path)"""),
         "language_counts": with_(FILES, eligible(), select="""
             SELECT language, count(*) AS file_count FROM eligible GROUP BY language ORDER BY 2 DESC"""),
         "token_counts": f"SELECT doc_id, ({token_count('text')})::INTEGER AS token_count FROM documents",
@@ -522,6 +557,7 @@ def sql() -> dict[str, str]:
         "overlap_dedup": with_(*small, DEDUP, select="""
             SELECT question_id, rank, h.id AS id, h.score AS score, h.file_path AS file_path,
                    h.start_line AS start_line, h.end_line AS end_line FROM disjoint"""),
+        "rag_dense": with_(CHUNKS, QUESTIONS, FEATURES, FOLDED_HITS, DEDUP, SOURCES, select="SELECT * FROM sources"),
         "rag_sources": with_(*hits, DEDUP, SOURCES, select="SELECT * FROM sources"),
         "prompts": with_(*hits, DEDUP, SOURCES, *FOLDED_REPOS, f"""context AS (
             SELECT question_id, count(*) AS n, {prompt_context} AS block FROM sources GROUP BY question_id)""",
@@ -531,9 +567,11 @@ def sql() -> dict[str, str]:
                    'Repository: ' || coalesce(string_split(r.url, 'github.com/')[-1], q.repo_id) || {two}
                    || '## Retrieved Code Context' || {two} || coalesce(c.block, {lit(retrieve.NO_CONTEXT)}) || {two}
                    || '## Question' || {two} || q.question || {two} || {lit(retrieve.CLOSING)} AS message
-            FROM question q LEFT JOIN context c USING (question_id) LEFT JOIN repo r ON r.repo_id = q.repo_id"""),
+            FROM question q LEFT JOIN context c USING (question_id)
+            JOIN repo r ON r.repo_id = q.repo_id AND r.status = 'ready'"""),
         "query_gate": with_(CHUNKS, GATE_QUESTIONS, FEATURES, HITS, *FOLDED_REPOS, select="""
-            SELECT question_id, q.repo_id, q.top_k, r.status, coalesce(n, 0) AS hit_count,
+            SELECT question_id, q.repo_id, q.top_k, r.status,
+                   CASE WHEN r.status = 'ready' AND q.top_k BETWEEN 1 AND 20 THEN coalesce(n, 0) ELSE 0 END AS hit_count,
                    CASE WHEN q.top_k NOT BETWEEN 1 AND 20 THEN 'invalid' WHEN r.status IS NULL THEN 'not_found'
                         WHEN r.status <> 'ready' THEN 'not_ready' WHEN coalesce(n, 0) = 0 THEN 'no_results'
                         ELSE 'ok' END AS outcome
@@ -549,6 +587,11 @@ def sql() -> dict[str, str]:
         "dead_letters": with_(MESSAGES, select="""
             SELECT page_id, value FROM decoded WHERE repo_id IS NULL OR github_url IS NULL"""),
         "repo_latest": with_(*REPOS, select="SELECT * FROM repo"),
+        "job_durations": with_(repo_events("event", None), select="""
+            SELECT repo_id, started_at, ended_at, CASE WHEN ended_at >= started_at
+                THEN (epoch_ms(ended_at) - epoch_ms(started_at)) / 1000.0::DOUBLE END AS duration_seconds
+            FROM (SELECT repo_id, min(ts) FILTER (status = 'cloning') AS started_at,
+                         max(ts) FILTER (status IN ('ready', 'failed')) AS ended_at FROM event GROUP BY repo_id)"""),
         "repo_list": with_(*REPOS, select=f"""
             SELECT repo_id, status, created_at, least(total, {DEFAULTS.list_limit}) AS returned, total
             FROM (SELECT *, count(*) OVER () AS total FROM repo)
@@ -591,14 +634,17 @@ def sql() -> dict[str, str]:
         "usage_by_model": f"""
             SELECT model, count(*) AS requests, sum(k)::BIGINT AS prompt_tokens, sum(o)::BIGINT AS completion_tokens,
                    sum(k + o)::BIGINT AS total_tokens, sum(ms)::DOUBLE / count(*) AS avg_latency_ms,
-                   quantile_cont(ms, 0.5)::DOUBLE AS median_latency_ms, split_part(model, '/', 1) AS provider
+                   quantile_cont(CASE WHEN ms < 128 THEN ms ELSE
+                     (ms >> (len(bin(ms)) - 7)::INTEGER << (len(bin(ms)) - 7)::INTEGER)
+                     + (1 << (len(bin(ms)) - 7)::INTEGER) // 2 END, 0.5)::DOUBLE AS median_latency_ms,
+                   split_part(model, '/', 1) AS provider
             FROM (SELECT {lookup(fixed.MODEL_OF, 'event_type')} AS model, floor(value * 10)::BIGINT AS ms,
                          json_extract_string(props, '$.k')::BIGINT AS k, event_id % 97 AS o FROM events)
             GROUP BY model""",
         "score_rows": with_(SCORE_ROWS, select="SELECT * FROM score_row"),
         "trace_scores": with_(TURNS, SCORE_ROWS, select="""
-            SELECT trace_id, conv_id, turn, name, value, comment FROM score_row
-            JOIN (SELECT *, 't' || question_id AS trace_id FROM turn_pair) USING (trace_id)"""),
+            SELECT 't' || question_id AS trace_id, conv_id, turn, name, value, comment
+            FROM turn_pair JOIN score_row ON score_row.trace_id = 't' || conv_id"""),
         "context_precision": with_(CENTROIDS, DENSE, """running AS (
             SELECT question_id, rank, v, sum(v) OVER (PARTITION BY question_id ORDER BY rank) AS so_far
             FROM (SELECT question_id, rank, (label = wanted)::INTEGER AS v FROM hit))""", select="""

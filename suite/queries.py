@@ -57,6 +57,22 @@ def eligible_files_capped(spark, sf_dir):
         "repo_id", "path", "language")
 
 
+@query
+def file_outcomes(spark, sf_dir):
+    """Documents of 100 to 127 bytes have lost their content."""
+    lost = F.when(~F.col("size").between(100, 127), F.col("content"))
+    return files.file_outcomes(corpus.files(spark, sf_dir).withColumn("content", lost), max_files=CAP,
+                               max_bytes=BOUNDED.max_bytes)
+
+
+@query
+def chunk_outcomes(spark, sf_dir):
+    """Documents of a language in eleven have lost their content; all others are chunked."""
+    lost = F.when(F.col("doc_id") % 11 != 0, F.col("content"))
+    chunked = chunks.with_chunks(corpus.code_files(spark, sf_dir).withColumn("content", lost))
+    return chunks.chunk_outcomes(chunked)
+
+
 @query
 def language_counts(spark, sf_dir):
     return files.language_counts(files.eligible_files(corpus.files(spark, sf_dir)))
@@ -182,6 +198,15 @@ def rag_sources(spark, sf_dir):
     return ask.answer_sources(_store(spark, sf_dir), corpus.questions(spark, sf_dir))
 
 
+@query
+def rag_dense(spark, sf_dir):
+    """The same with a dense encoder, in a store that holds vectors of two encoders."""
+    rows = _chunks(spark, sf_dir)
+    stored = staged(ingest.vector_rows(rows, vectors.FOLDED_COUNTS).unionByName(
+        ingest.vector_rows(rows).select(*rows.columns, "encoder"), allowMissingColumns=True))
+    return ask.answer_sources(stored, corpus.questions(spark, sf_dir), encoder=vectors.FOLDED_COUNTS)
+
+
 @query
 def prompts(spark, sf_dir):
     repo_rows = repos.repo_latest(corpus.repo_events(spark, sf_dir, 25))
@@ -194,10 +219,7 @@ def prompts(spark, sf_dir):
 @query
 def query_gate(spark, sf_dir):
     repo_rows = repos.repo_latest(corpus.repo_events(spark, sf_dir, 25))
-    questions = corpus.gate_questions(spark, sf_dir)
-    hits = ask.find_hits(_store(spark, sf_dir), questions.withColumn(
-        "top_k", F.coalesce("top_k", F.lit(DEFAULTS.default_top_k))))
-    return retrieve.query_gate(questions, repo_rows, hits)
+    return ask.question_outcomes(_store(spark, sf_dir), corpus.gate_questions(spark, sf_dir), repo_rows)
 
 
 # Repositories --------------------------------------------------------------------------------
@@ -224,6 +246,11 @@ def repo_latest(spark, sf_dir):
     return repos.repo_latest(corpus.repo_events(spark, sf_dir))
 
 
+@query
+def job_durations(spark, sf_dir):
+    return repos.job_durations(corpus.repo_events(spark, sf_dir))
+
+
 @query
 def repo_list(spark, sf_dir):
     return repos.repo_list(repos.repo_latest(corpus.repo_events(spark, sf_dir))).select(
@@ -312,26 +339,26 @@ def usage_by_model(spark, sf_dir):
     return traces.usage_by_model(rows)
 
 
-def _score_rows(spark, sf_dir):
-    labels = corpus.table(spark, sf_dir, "labels")
+def _scores_of(rows, trace_id):
     values = F.create_map(F.lit("quality"), F.col("quality").cast("double"),
                           F.lit("toxic"), F.col("toxic").cast("double"))
-    scores = labels.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("trace_id"),
-                           values.alias("scores"))
-    return traces.score_rows(scores)
+    return traces.score_rows(rows.select(trace_id.alias("trace_id"), values.alias("scores")))
 
 
 @query
 def score_rows(spark, sf_dir):
-    return _score_rows(spark, sf_dir)
+    labels = corpus.table(spark, sf_dir, "labels")
+    return _scores_of(labels, F.concat(F.lit("t"), F.col("doc_id").cast("string")))
 
 
 @query
 def trace_scores(spark, sf_dir):
-    turn = F.col("question_id")
-    asked = corpus.turns(spark, sf_dir).select(
-        F.concat(F.lit("t"), turn.cast("string")).alias("trace_id"), "conv_id", "turn")
-    return traces.scored_traces(asked, _score_rows(spark, sf_dir))
+    """The turns of a conversation are scored with the labels of the document of the same number."""
+    trace_id = F.concat(F.lit("t"), F.col("question_id").cast("string"))
+    asked = corpus.turns(spark, sf_dir)
+    labels = corpus.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "conv_id")
+    scores = _scores_of(asked.select("conv_id", "question_id").join(labels, "conv_id"), trace_id)
+    return traces.scored_traces(asked.select(trace_id.alias("trace_id"), "conv_id", "turn"), scores)
 
 
 # Quality -------------------------------------------------------------------------------------

@@ -436,3 +436,23 @@ def test_work_grows_with_the_lines(spark):
 
     small, large = seconds(5_000), seconds(20_000)
     assert large < 8 * small, (small, large)
+
+
+def test_a_file_that_cannot_be_chunked_is_a_row_and_the_others_are_chunked(spark):
+    rows = [("r", "a.py", "def f():\n  pass", "python"), ("r", "lost.py", None, "python"), ("r", None, "x", "python"),
+            (None, "b.py", "x", "python"), ("r", "empty.py", "", "python"), ("r", "c.sql", "SELECT 1", None)]
+    chunked = chunks.with_chunks(spark.createDataFrame(rows, SCHEMA), ANY_SIZE)
+    got = {(r.repo_id, r.path): (r.chunk_count, r.error) for r in chunks.chunk_outcomes(chunked).collect()}
+    assert got == {("r", "a.py"): (1, None), ("r", "lost.py"): (0, "no content"), ("r", None): (0, "no path"),
+                   (None, "b.py"): (0, "no repository"), ("r", "empty.py"): (0, None), ("r", "c.sql"): (1, None)}
+    assert {r.file_path for r in chunks.explode_chunks(chunked).collect()} == {"a.py", "c.sql"}
+
+
+def test_token_counter_is_an_argument(spark):
+    content = "def f(a):\n  return a.b.c.d\n"
+    spaces = Limits(min_tokens=1, count_tokens=lambda text: F.size(F.filter(F.split(text, " +", -1), lambda w: w != "")))
+    assert [r.token_count for r in chunks.chunk_files(frame(spark, content, "python"), ANY_SIZE).collect()] == [14]
+    assert [r.token_count for r in chunks.chunk_files(frame(spark, content, "python"), spaces).collect()] == [4]
+    assert [r.token_count for r in chunks.code_blocks(frame(spark, content, "python"), spaces).collect()] == [4]
+    assert chunks.chunk_files(frame(spark, content, "python"), Limits(
+        min_tokens=5, count_tokens=spaces.count_tokens)).first().node_type == "module"

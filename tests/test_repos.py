@@ -160,3 +160,38 @@ def test_result_writers(spark, tmp_path):
     (tmp_path / "pairs.json").write_text('[{"question": "q",\n "ground_truth": "g"}, {"question": "p"}]')
     rows = tree.read_eval_pairs(spark, str(tmp_path / "pairs.json")).collect()
     assert [(r.question, r.ground_truth) for r in rows] == [("q", "g"), ("p", None)]
+
+
+def test_run_stamp_and_durations(spark):
+    df = spark.createDataFrame([("2024-03-01 10:20:30.250", "2024-03-01 10:20:31.75")], "a string, b string").selectExpr(
+        "timestamp(a) a", "timestamp(b) b")
+    row = df.select(repos.run_stamp(F.col("a")).alias("s"), repos.elapsed_ms("a", "b").alias("ms")).first()
+    assert (row.s, row.ms) == ("20240301_102030", 1500)
+    rows = [("r", "cloning", 10), ("r", "ready", 25), ("run", "cloning", 3), ("bad", "cloning", 5), ("bad", "failed", 6),
+            ("bad", "cloning", 9), ("bad", "ready", 12), ("odd", "ready", 4)]
+    events = spark.createDataFrame(rows, "repo_id string, status string, at int").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r.repo_id: r.duration_seconds for r in repos.job_durations(events).collect()}
+    assert got == {"r": 15.0, "run": None, "bad": 7.0, "odd": None}
+
+
+def test_usage_sketches_merge_and_keep_their_error(spark):
+    import random
+
+    from sourceloom.operators import traces
+
+    rng = random.Random(1)
+    rows = [(f"m{i % 2}/x", d, int(rng.lognormvariate(7, 2)), i) for i in range(4000) for d in (i % 3,)]
+    df = spark.createDataFrame(rows, "model string, day int, latency_ms long, k long").withColumn(
+        "usage", F.struct(F.col("k").alias("input"), (F.col("k") % 7).alias("output"), F.col("k").alias("total")))
+    daily = traces.usage_sketches(df, "model", "day")
+    merged = traces.merge_usage(daily, "model")
+    assert daily.count() < 3 * 2 * 500 and merged.groupBy("model").count().agg(F.max("count")).first()[0] < 128 + 64 * 20
+    whole = {r.model: r for r in traces.usage_by_model(df).collect()}
+    assert {r.model: r for r in traces.sketch_usage(merged).collect()} == whole
+    for model in ("m0/x", "m1/x"):
+        values = sorted(r[2] for r in rows if r[0] == model)
+        assert whole[model].requests == 2000 and whole[model].avg_latency_ms == sum(values) / 2000
+        assert abs(whole[model].median_latency_ms / ((values[999] + values[1000]) / 2) - 1) <= 1 / 128 + 1e-9
+    edges = [0, 1, 127, 128, 129, 255, 256, 2**40 + 12345, 2**62]
+    buckets = spark.createDataFrame([(v,) for v in edges], "v long").select("v", traces.latency_bucket("v").alias("b")).collect()
+    assert all(r.b == r.v for r in buckets if r.v < 128) and all(abs(r.b - r.v) * 128 <= r.v for r in buckets)

@@ -1,3 +1,5 @@
+import pytest
+
 from sourceloom.operators import retrieve, traces
 from sourceloom.plans import ask
 
@@ -112,3 +114,72 @@ def test_hits_join_with_and_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "MAX_BROADCAST_HITS", 0)
     many = retrieve.hits_with_metadata(hits, metadata, questions)
     assert few.collect() == many.collect() and few.first().content == "x"
+
+
+def stored(spark):
+    from pyspark.sql import functions as F
+
+    from sourceloom.operators.vectors import FOLDED_COUNTS
+    from sourceloom.plans import ingest
+
+    rows = [(f"c{i}", "r" if i < 8 else "s", f"f{i}.py", f"word{i % 3} common text{i}") for i in range(10)]
+    chunks = spark.createDataFrame(rows, "id string, repo_id string, file_path string, content string").withColumns({
+        "language": F.lit("python"), "node_type": F.lit("module"), "node_name": F.lit("n"), "start_line": F.lit(1),
+        "end_line": F.lit(2), "token_count": F.lit(3), "context_header": F.lit("")})
+    both = ingest.vector_rows(chunks).unionByName(ingest.vector_rows(chunks, FOLDED_COUNTS), allowMissingColumns=True)
+    asked = spark.createDataFrame([(1, "r", "word1 common", 3), (2, "s", "text9", 2), (3, "t", "common", 2), (4, "r", "common", 99)],
+                                  "question_id int, repo_id string, question string, top_k int")
+    return both, asked
+
+
+def test_two_encoders_share_a_store_and_a_search_sees_its_own(spark):
+    from sourceloom.operators.vectors import FOLDED_COUNTS
+
+    both, asked = stored(spark)
+    assert {r.encoder: r["count"] for r in both.groupBy("encoder").count().collect()} == {
+        "word-counts-1024": 10, "folded-counts-64": 10}
+    sparse = ask.answer_sources(both, asked).collect()
+    dense = ask.answer_sources(both, asked, encoder=FOLDED_COUNTS).collect()
+    for found in (sparse, dense):
+        assert len({(r.question_id, r.id) for r in found}) == len(found)
+        assert {(r.question_id, r.repo_id) for r in found} <= {(1, "r"), (2, "s")}
+        best = {r.question_id: r.id for r in found if r.rank == 1}
+        assert best[1] in ("c1", "c4", "c7") and best[2] == "c9"
+    assert {r.rank for r in dense if r.question_id == 1} == {1, 2, 3}
+
+
+def test_a_pandas_udf_can_be_the_encoder(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from sourceloom.operators.vectors import Encoder
+    from sourceloom.plans import ingest
+
+    @F.pandas_udf("array<float>")
+    def lengths(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [float(t.count("o")), float(t.count("e")), 1.0])
+
+    own = Encoder("letters", "dense", lengths)
+    both, asked = stored(spark)
+    rows = ingest.vector_rows(both.where("encoder = 'word-counts-1024'").drop("encoder", "buckets", "tfs", "norm2", "vector"), own)
+    found = ask.answer_sources(rows, asked, encoder=own).collect()
+    assert {r.question_id for r in found} == {1, 2}
+    with pytest.raises(ValueError):
+        ask.answer_sources(rows, asked)                          # no vectors of the default encoder
+
+
+def test_unknown_kind_of_vectors():
+    from sourceloom.operators.vectors import Encoder
+
+    with pytest.raises(ValueError):
+        Encoder("x", "other", lambda t: t)
+
+
+def test_only_questions_that_pass_the_gate_are_searched(spark):
+    both, asked = stored(spark)
+    repos = spark.createDataFrame([("r", "https://github.com/o/r", "ready"), ("s", "https://github.com/o/s", "chunking")],
+                                  "repo_id string, url string, status string")
+    assert {r.question_id for r in ask.question_prompts(both, asked, repos).collect()} == {1}
+    assert {r.question_id for r in ask.answer_sources(both, asked, repos=repos).collect()} == {1}
+    got = {r.question_id: (r.outcome, r.hit_count > 0) for r in ask.question_outcomes(both, asked, repos).collect()}
+    assert got == {1: ("ok", True), 2: ("not_ready", False), 3: ("not_found", False), 4: ("invalid", False)}
