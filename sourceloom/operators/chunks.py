@@ -407,7 +407,7 @@ def with_chunks(files: DataFrame, limits: Limits = DEFAULTS, boundaries: bool =
         chunks = let(F.split(content, "\n", -1), lambda lines: let(
             _token_sums(lines, limits),
             lambda tokens: _fallback(lines, tokens, content, limits)))
-    return files.withColumn("chunks", chunks)
+    return files.withColumn("chunks", F.when(content.isNotNull(), chunks))
 
 
 def _unit_name(language: Column, unit: Column, head: Column, content: Column) -> Column:
