@@ -117,8 +117,14 @@ def _extract(symbols: Symbols, length: int):
                         ("symbols", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             wanted = batch.column(1).to_pylist()
+            # Rows with equal id and text hold the same contexts: the first of a task sends them.
+            for i, rid in enumerate(batch.column(0).to_pylist()):
+                if rid in done:
+                    wanted[i] = None
+                done.add(rid)
             for rows, data, offsets in arrays.slices(batch):
                 if not any(wanted[rows]):
                     continue
@@ -140,7 +146,7 @@ def _resolve(symbols: Symbols, resolver: Resolver, length: int):
                         ("hi", pa.int64()), ("label", pa.int64()), ("weight", pa.int64())])
 
     def group(table: pa.Table) -> pa.Table:
-        # Rows with equal id and text report a context twice.
+        # Rows with equal id and text in different tasks report a context twice.
         _, once = np.unique(np.stack([table["anchor"].to_numpy(), table["context"].to_numpy()]), axis=1, return_index=True)
         table = table.take(pa.array(once)).combine_chunks()
         windows = table["windows"].to_numpy()
@@ -231,8 +237,10 @@ def covered(docs: DataFrame, symbols: Symbols, resolver: Resolver, gram: int, le
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("rest")] if carry else []
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *rest)
     docs = docs.select(shared.row_key().alias("rid"), *docs.columns)
+    # Rows with equal id and text report the same ranges, so a set holds those of one text however often it occurs.
     spans = repeated_windows(docs, symbols, resolver, gram, length).groupBy("rid").agg(
-        F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        F.collect_set(F.struct("lo", "hi")).alias("spans")) \
+        .select("rid", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
     return docs.join(spans, "rid", "left")
 
 
