@@ -494,8 +494,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str =
     found = join(docs, k, percent, id_column, text_column)
     group = F.coalesce("component", "cls")
     best = found.where("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "rid")).alias("best"))
-    stay = shared.cut(best.select(F.col("best.rid").alias("_key"), F.lit(True).alias("_one")).union(
+    stay = shared.cut(best.select(F.col("best.rid").alias("key"), F.lit(True).alias("one")).union(
         found.where("n_shingles = 0").select("rid", F.lit(False))).distinct())
-    rows = docs.withColumn("_key", shared.row_key(id_column, text_column)).join(stay, "_key")
-    single = rows.where("_one").dropDuplicates(["_key"])
-    return single.unionByName(rows.where("not _one")).select(*docs.columns)
+    rows = docs.select(shared.row_key(id_column, text_column).alias("key"), shared.whole_row(docs)).join(stay, "key")
+    single = rows.where("one").dropDuplicates(["key"])
+    return single.unionByName(rows.where("not one")).select("row.*")

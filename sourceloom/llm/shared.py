@@ -90,6 +90,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that a caller's names cannot meet those of a step; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

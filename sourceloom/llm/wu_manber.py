@@ -129,7 +129,7 @@ def _scan(items: list[tuple[str, str]], window: int):
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(rid, doc_id, n_words, lo, hi, items) per row of (rid, doc_id, text): hit word ranges [lo, hi), item ids."""
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-                             F.coalesce("text", F.lit("")).alias("text"))
+                             F.coalesce("text", F.lit("")).alias("text")).distinct()
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     passes = size // BLOCK_BYTES + 1
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -172,6 +172,6 @@ def clean_only(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_colum
                text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without any test passage, with their columns."""
     found = contamination(docs, benchmark, window, id_column, text_column)
-    flagged = shared.cut(found.where("contaminated").select(F.col("rid").alias("_key")).distinct())
-    return docs.withColumn("_key", shared.row_key(id_column, text_column)).join(flagged, "_key", "left_anti") \
-        .select(*docs.columns)
+    flagged = shared.cut(found.where("contaminated").select(F.col("rid").alias("key")).distinct())
+    return docs.select(shared.row_key(id_column, text_column).alias("key"), shared.whole_row(docs)) \
+        .join(flagged, "key", "left_anti").select("row.*")

@@ -1,6 +1,7 @@
 """Operators against plain versions, on small tables with every kind of odd row."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -328,6 +329,56 @@ def test_merkle_audit(spark):
     assert merkle.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def plain_audit(left, right):
+    """(id, status) of records that differ, from the contents of two lists of (id, url, body)."""
+    found = []
+    for key in {r[:2] for r in left + right}:
+        sides = [Counter((r[0], r[1], r[2] or "") for r in side if r[:2] == key) for side in (left, right)]
+        more = [list(sides[0] - sides[1]), list(sides[1] - sides[0])]
+        for i in range(max(map(len, more))):
+            found.append((key[0], "missing_left" if i >= len(more[0]) else "missing_right" if i >= len(more[1]) else "changed"))
+    return sorted(found, key=str)
+
+
+def test_merkle_audit_locates_lost_added_and_repeated_records(spark):
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 9)) for i in range(600)]
+    rows += [(7, "http://x/7", "again")] * 40 + [(None, f"n{i}", "b") for i in range(50)]
+    rows += [(8, "http://x/8", f"v{i}") for i in range(300)]               # one id and address, many contents
+    other = [r for r in rows if r[0] != 100 and r[1] != "n9"]             # two lost records
+    other = [(i, u, "cut" if i in (200, 201) else b) for i, u, b in other] + [(9999, "new", "page"), (7, "http://x/7", "again")]
+    other[other.index((8, "http://x/8", "v13"))] = (8, "http://x/8", "other")
+    schema = "page_id long, url string, html string"
+    a, b = (merkle.leaves(spark.createDataFrame(r, schema).repartition(3), 3) for r in (rows, other))
+    found = merkle.audit(a, b).collect()
+    assert sorted(((r.page_id, r.status) for r in found), key=str) == plain_audit(rows, other)
+    assert merkle.differing(merkle.tree(a, 300), merkle.tree(b, 300)).count() <= 7
+    assert len(found) == 7 and {r.right_copies for r in found if r.page_id == 7} == {1}
+    spans = sorted((r.file, r.offset, r.offset + r.size * r.copies) for r in a.collect())
+    assert all(x[2] == y[1] if x[0] == y[0] else y[1] == 0 for x, y in zip(spans, spans[1:]))
+
+
+def test_repeated_rows_share_their_ranges(spark):
+    """2,500 rows of one id and text, and a copy under another id."""
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = spark.range(2500).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = rows.union(spark.createDataFrame([(2, text + " end"), (3, "short")], "doc_id long, text string"))
+    for module, length in ((suffix_tree, 35), (bwt_merge, 200)):
+        got = module.remove_repeats(rows, length).groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("n_removed").alias("kinds"), F.max("n_removed").alias("m")).collect()
+        whole = 300 if module is suffix_tree else len(text)
+        assert {(r.doc_id, r.n, r.kinds, r.m) for r in got} == {(1, 2500, 1, whole), (2, 1, 1, whole), (3, 1, 1, 0)}
+
+
+def test_filters_keep_columns_of_any_name(spark, odd_docs):
+    names = ("_key", "_one", "key", "one", "row", "g", "best", "a.b")
+    table = odd_docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for got in (jaccard_join.one_of_each(table, 3, 90),
+                wu_manber.clean_only(table, spark.createDataFrame(ITEMS, "item_id long, text string"))):
+        assert got.columns == table.columns
+        kept = got.collect()
+        assert kept and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in kept for c in names)
+
+
 def test_sketches_put_off_no_link():
     draw = np.random.default_rng(5)
     for percent in (70, 80, 90):
