@@ -3,6 +3,9 @@
 Layout: ``<store>/chunks/repo_id=<id>/`` holds rows, ``<store>/deleted/`` holds tombstones
 (repo_id, seq). A delete writes a tombstone and touches no data; rows at or below its ``seq`` are
 hidden from every read and disappear when the repository is written next.
+
+A merge writes the new rows of its repositories to ``<store>/pending`` before the old ones go. If it stops after that,
+reads take those repositories from there, and the next merge (or ``finish_merge``) puts them in place first.
 """
 
 from __future__ import annotations
@@ -30,9 +33,35 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _pending(spark: SparkSession, store: str) -> DataFrame | None:
+    """The rows of a merge that wrote all of them and did not end."""
+    files, done = _folder(spark, f"{store}/pending/_SUCCESS")
+    return _read(spark, f"{store}/pending") if files.exists(done) else None
+
+
+def finish_merge(spark: SparkSession, store: str) -> None:
+    """Put the rows of a merge that was stopped in place. Doing it again changes nothing."""
+    pending = _pending(spark, store)
+    if pending is not None:
+        # Rebalancing splits a large repository over several files and merges small ones.
+        (pending.hint("rebalance", "repo_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{store}/chunks"))
+    files, folder = _folder(spark, f"{store}/pending")
+    files.delete(folder, True)
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame | None:
     """All live rows, or None for a store that was never written. Filters on repo_id prune files."""
     rows = _read(spark, f"{store}/chunks")
+    pending = _pending(spark, store)
+    if pending is not None:
+        rows = pending if rows is None else rows.join(pending.select("repo_id").distinct(), "repo_id", "left_anti") \
+            .unionByName(pending, allowMissingColumns=True)
     if rows is None:
         return None
     deleted = _read(spark, f"{store}/deleted")
@@ -46,10 +75,11 @@ def read_store(spark: SparkSession, store: str) -> DataFrame | None:
 def upsert_store(spark: SparkSession, incoming: DataFrame, store: str) -> None:
     """Merge ``incoming`` (id, repo_id, seq, ...) into the store; the last row of an id wins.
 
-    Only the partitions of the repositories in ``incoming`` are read and replaced. Partition
-    replacement is staged, so the old files stay readable until the job commits, and a lost
-    executor only repeats its tasks. Running the same merge again changes nothing.
+    Only the partitions of the repositories in ``incoming`` are read and replaced, and only once their new rows
+    are written beside them. A lost executor only repeats its tasks. Running the same merge again changes nothing.
+    One merge at a time may run on a store.
     """
+    finish_merge(incoming.sparkSession, store)
     incoming = staged(incoming)     # read three times below: keys, rows, repositories
     live = read_store(spark, store)
     if live is None:
@@ -59,9 +89,8 @@ def upsert_store(spark: SparkSession, incoming: DataFrame, store: str) -> None:
         # A store written before a column existed has no values there.
         old = [F.col(f.name) if f.name in live.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in incoming.schema]
         merged = upsert(live.join(touched, "repo_id", "left_semi").select(*old), incoming)
-    # Rebalancing splits a large repository over several files and merges small ones.
-    (merged.hint("rebalance", "repo_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{store}/chunks"))
+    merged.hint("rebalance", "repo_id").write.mode("overwrite").partitionBy("repo_id").parquet(f"{store}/pending")
+    finish_merge(incoming.sparkSession, store)
 
 
 def delete_from_store(deleted: DataFrame, store: str) -> None:
