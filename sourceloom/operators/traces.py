@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceloom.functions.text import as_column
@@ -103,6 +103,39 @@ def sketch_usage(sketches: DataFrame, share: float = 0.5) -> DataFrame:
     ).withColumn("provider", provider("model"))
 
 
-def usage_by_model(traces: DataFrame) -> DataFrame:
-    """Requests, tokens and latency per model; the median within 1 / 2**``SKETCH_BITS`` of the value."""
-    return sketch_usage(merge_usage(usage_sketches(traces, "model"), "model"))
+def _ordered_bucket(latency: str) -> Column:
+    """``latency_bucket`` in the order of all numbers, negative ones included."""
+    value = F.col(latency).cast("bigint")
+    return F.when(value < 0, F.bitwise_not(latency_bucket(F.bitwise_not(value)))).otherwise(latency_bucket(value))
+
+
+def median_latency(traces: DataFrame) -> DataFrame:
+    """(model, median_latency_ms): the exact median of the known latencies of every model.
+
+    Counts per bucket tell in which one or two buckets the middle lies; only the latencies in these are put in order.
+    """
+    counted = traces.where(F.col("latency_ms").isNotNull()).groupBy("model", "latency_ms").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("bucket", _ordered_bucket("latency_ms"))
+    model = Window.partitionBy("model")
+    placed = counted.groupBy("model", "bucket").agg(F.sum("n").alias("size")).select(
+        F.col("model").alias("of"), F.col("bucket").alias("within"), "size",
+        (F.sum("size").over(model.orderBy("bucket")) - F.col("size")).alias("before"),
+        F.sum("size").over(model).alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = placed.where((F.col("before") <= high) & (F.col("before") + F.col("size") > low))
+    rows = counted.join(F.broadcast(middle), F.col("model").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("within")))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("model", "bucket").orderBy("latency_ms"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("end") - F.col("n") <= place) & (place < F.col("end")), F.col("latency_ms").cast("double")))
+
+    return rows.withColumn("end", end).groupBy("model").agg((at(low) * 0.5 + at(high) * 0.5).alias("median_latency_ms"))
+
+
+def usage_by_model(traces: DataFrame, exact: bool = False) -> DataFrame:
+    """Requests, tokens and latency per model; the median is exact, or within 1 / 2**``SKETCH_BITS`` of the value."""
+    usage = sketch_usage(merge_usage(usage_sketches(traces, "model"), "model"))
+    if not exact:
+        return usage
+    median = median_latency(traces).withColumnRenamed("model", "of")
+    return usage.drop("median_latency_ms").join(median, F.col("model").eqNullSafe(F.col("of")), "left").select(*usage.columns)

@@ -59,3 +59,30 @@ def test_usage_and_scores(spark):
     assert a.avg_latency_ms == pytest.approx(50 / 3)
     scores = spark.createDataFrame([("t", {"recall": 0.5})], "trace_id string, scores map<string,double>")
     assert tuple(traces.score_rows(scores).first()) == ("t", "recall", 0.5, "RAGAS recall")
+
+
+def test_median_latency_is_exact_in_wide_buckets(spark):
+    from statistics import median
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    latencies = {"a/odd": rng.integers(0, 6000, 501).tolist(), "a/even": rng.integers(0, 2**40, 500).tolist(),
+                 "b/apart": [100, 5003, 9001, 10**12], "b/below": [-900, -899, -300, 7, None], "b/none": [None],
+                 None: [1001, 1003]}
+    rows = [(m, x, (1, 1, 2)) for m, xs in latencies.items() for x in xs]
+    df = spark.createDataFrame(rows, "model string, latency_ms long, usage struct<input:long,output:long,total:long>")
+    out = {r.model: r for r in traces.usage_by_model(df, exact=True).collect()}
+    assert {m: r.requests for m, r in out.items()} == {m: len(xs) for m, xs in latencies.items()}
+    known = {m: [x for x in xs if x is not None] for m, xs in latencies.items()}
+    assert {m: r.median_latency_ms for m, r in out.items()} == {m: median(xs) if xs else None for m, xs in known.items()}
+
+
+def test_registered_usage_takes_the_exact_median(spark, tmp_path):
+    from suite.queries import usage_by_model
+
+    rows = [(i, "view", v, '{"k": 1}') for i, v in enumerate([100.1, 500.3, 500.4, 900.0, 901.0])]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    row = usage_by_model(spark, str(tmp_path)).first()
+    assert (row.model, row.requests, row.median_latency_ms) == ("alpha/large", 5, 5004.0)
