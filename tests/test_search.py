@@ -190,3 +190,26 @@ def test_search_plan_limits_before_shuffling_and_pairs_nothing(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_registered_lsh_scores_all_of_its_buckets(spark, tmp_path):
+    from suite import corpus
+    from suite.queries import search_lsh
+
+    data = np.random.default_rng(8).normal(size=(1200, 64)).astype("float32")
+    spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(data)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    planes = np.array(search.hyperplanes(64, 24), float).reshape(8, 3, 64)
+
+    def buckets(x):
+        return (np.einsum("tbd,nd->ntb", planes, x) >= 0) @ (1 << np.arange(3))
+
+    asked = {r.question_id: (r.repo_id, np.array(r.vector)) for r in corpus.centroids(spark, str(tmp_path)).collect()}
+    wanted = set()
+    for name, (repo, vector) in asked.items():
+        ids = np.arange(int(repo[3:]), 1200, 4)
+        ids = ids[(buckets(data[ids].astype(float)) == buckets(vector[None])).any(axis=1)]
+        part = data[ids].astype(float)
+        scores = np.round(part @ vector / np.sqrt((part * part).sum(axis=1) * (vector @ vector)), 4)
+        wanted |= {(name, int(i)) for i in ids[np.lexsort((ids, -scores))][:20]}
+    assert {(r.question_id, r.id) for r in search_lsh(spark, str(tmp_path)).collect()} == wanted
