@@ -50,16 +50,23 @@ def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEF
     return rag_sources(hits, questions)
 
 
-def question_prompts(chunks: DataFrame, questions: DataFrame, repos: DataFrame,
-                     limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS) -> DataFrame:
-    """Prompt rows of the questions that pass the gate. ``repos``: repo_id, url, status."""
-    asked = answerable(questions, repos, limits)
+def question_prompts(chunks: DataFrame, questions: DataFrame, repos: DataFrame, limits: Limits = DEFAULTS,
+                     encoder: Encoder = WORD_COUNTS, ready_only: bool = True) -> DataFrame:
+    """Prompt rows of the questions that pass the gate. ``repos``: repo_id, url, status.
+
+    Without ``ready_only``, of all questions with a valid ``top_k``, whatever is known of their repository.
+    """
+    asked = answerable(questions, repos, limits) if ready_only else with_bounds(questions, limits)
     named = asked.join(repos.select("repo_id", "url"), "repo_id", "left").withColumn(
         "repo_name", F.coalesce(repo_name("url"), F.col("repo_id")))
     return prompts(named, answer_sources(chunks, asked, limits, encoder))
 
 
-def question_outcomes(chunks: DataFrame, questions: DataFrame, repos: DataFrame,
-                      limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS) -> DataFrame:
-    """Outcome of every question; only those that pass the gate are searched."""
-    return query_gate(questions, repos, find_hits(chunks, answerable(questions, repos, limits), limits, encoder), limits)
+def question_outcomes(chunks: DataFrame, questions: DataFrame, repos: DataFrame, limits: Limits = DEFAULTS,
+                      encoder: Encoder = WORD_COUNTS, ready_only: bool = True) -> DataFrame:
+    """Outcome of every question; only those that pass the gate are searched, or all without ``ready_only``."""
+    if ready_only:
+        asked = answerable(questions, repos, limits)
+    else:
+        asked = questions.withColumn("top_k", F.coalesce("top_k", F.lit(limits.default_top_k)))
+    return query_gate(questions, repos, find_hits(chunks, asked, limits, encoder), limits)

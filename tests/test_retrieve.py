@@ -183,3 +183,25 @@ def test_only_questions_that_pass_the_gate_are_searched(spark):
     assert {r.question_id for r in ask.answer_sources(both, asked, repos=repos).collect()} == {1}
     got = {r.question_id: (r.outcome, r.hit_count > 0) for r in ask.question_outcomes(both, asked, repos).collect()}
     assert got == {1: ("ok", True), 2: ("not_ready", False), 3: ("not_found", False), 4: ("invalid", False)}
+
+
+def tables(spark, path, questions):
+    """Documents of two sources, and events after which src1 is ready, src2 waits and src3 is unknown."""
+    docs = [(i, f"word{i} common text", "en", f"src{i % 2 + 1}", 17) for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{path}/documents.parquet")
+    events = [(1, 1, "click"), (2, 2, "click"), (3, 1, "purchase")]
+    spark.createDataFrame([(*e, 1.0, '{"k": 1}') for e in events],
+                          "event_id long, user_id long, event_type string, value double, props string").selectExpr(
+        "*", "timestamp'2026-01-01' ts").write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame(questions, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_registered_prompts_ask_every_repository(spark, tmp_path):
+    from suite.queries import prompts
+
+    path = tables(spark, tmp_path, [(21, "word1 common"), (22, "word2 common"), (23, "common")])
+    got = {r.question_id: (r.repo_id, r.source_count > 0, "github.com" in r.message or "org/" in r.message)
+           for r in prompts(spark, path).collect()}
+    assert got == {21: ("src1", True, True), 22: ("src2", True, True), 23: ("src3", False, False)}
