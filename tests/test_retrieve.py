@@ -205,3 +205,13 @@ def test_registered_prompts_ask_every_repository(spark, tmp_path):
     got = {r.question_id: (r.repo_id, r.source_count > 0, "github.com" in r.message or "org/" in r.message)
            for r in prompts(spark, path).collect()}
     assert got == {21: ("src1", True, True), 22: ("src2", True, True), 23: ("src3", False, False)}
+
+
+def test_registered_gate_searches_every_question(spark, tmp_path):
+    from suite.queries import query_gate
+
+    path = tables(spark, tmp_path, [(1, "word1 common"), (32, "word2 common"), (3, "common"), (23 * 30 + 1, "common"),
+                                    (22 * 30 + 1, "common"), (7 * 30 + 1, "common")])
+    got = {r.question_id: (r.top_k, r.outcome, r.hit_count) for r in query_gate(spark, path).collect()}
+    assert got == {1: (1, "ok", 2), 32: (9, "not_ready", 4), 3: (3, "not_found", 0), 691: (1, "ok", 2),
+                   661: (17, "ok", 4), 211: (4, "ok", 4)}
