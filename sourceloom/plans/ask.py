@@ -12,6 +12,7 @@ from sourceloom.operators.retrieve import (
 )
 from sourceloom.operators.search import search_dense, search_sparse
 from sourceloom.operators.vectors import WORD_COUNTS, Encoder, chunk_text, encoded, vector_metadata
+from sourceloom.sources.staging import staged
 
 
 def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS,
@@ -19,7 +20,7 @@ def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS
     """Ranked hits of every question in its repository.
 
     ``chunks`` may be stored rows with vectors, of which those of ``encoder`` are searched; without vectors they are made
-    here.
+    here. Where a shared folder is named, the hits are written there at once, and vectors reach the workers in small batches.
     """
     if "encoder" in chunks.columns:
         if not set(encoder.columns) <= set(chunks.columns):
@@ -31,9 +32,8 @@ def find_hits(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS
         vectors = encoded(chunks, chunk_text(), ["id", "repo_id"], encoder)
     vectors = vectors.select("id", "repo_id", *encoder.columns)
     asked = with_question_vectors(questions, limits, encoder)
-    if encoder.kind == "sparse":
-        return search_sparse(vectors, asked)
-    return search_dense(vectors, asked, encoder.digits)
+    hits = search_sparse(vectors, asked) if encoder.kind == "sparse" else search_dense(vectors, asked, encoder.digits)
+    return staged(hits, small_batches=True)
 
 
 def answer_sources(chunks: DataFrame, questions: DataFrame, limits: Limits = DEFAULTS, encoder: Encoder = WORD_COUNTS,

@@ -213,3 +213,29 @@ def test_registered_lsh_scores_all_of_its_buckets(spark, tmp_path):
         scores = np.round(part @ vector / np.sqrt((part * part).sum(axis=1) * (vector @ vector)), 4)
         wanted |= {(name, int(i)) for i in ids[np.lexsort((ids, -scores))][:20]}
     assert {(r.question_id, r.id) for r in search_lsh(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_tiles_reach_the_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    from sourceloom.plans import ask
+    from sourceloom.sources import staging
+
+    def sizes(kind, dims, digits):
+        def score(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"question_id": [0], "fetch_k": pa.array([20], pa.int32()),
+                                                  "repo_id": ["r"], "id": [0], "score": [float(batch.nbytes)]})
+        return score
+
+    # 24 MB of vectors in one task.
+    whole = "transform(sequence(0, 1023), x -> cast(x as int))"
+    v = spark.range(0, 3000, 1, 1).selectExpr("id", "'r' repo_id", f"{whole} buckets", f"{whole} tfs", "1L norm2")
+    asked = spark.createDataFrame([(0, "r", "a word", 10)], "question_id long, repo_id string, question string, top_k int")
+    monkeypatch.setattr(search, "_tile_scorer", sizes)
+    monkeypatch.setattr(staging, "checkpoint_dir", lambda spark, fallback=None: str(tmp_path))
+    before = spark.conf.get(staging.BATCH_KEY, None)
+    hits = ask.find_hits(v, asked)
+    assert spark.conf.get(staging.BATCH_KEY, None) == before
+    largest = hits.agg(F.max("score")).first()[0]
+    assert 1 << 20 < largest < 10 << 20
