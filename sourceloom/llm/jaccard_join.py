@@ -4,7 +4,7 @@ Two sets with similarity of at least p / 100 and sizes up to ``u`` differ in at
 H = 2u (100 - p) / (100 + p) shingles. Sizes fall into bands; a band hashes the universe of shingles into ``m``
 segments, so a pair of a band that differs in at most H shingles agrees in at least one of any H + 1 segments that
 one of the two fills. A set emits one signature per filled segment for its own band, and for the next band if a
-partner there is possible (there, H + 1 segments are enough). Segments get one of three allocations by cost:
+partner there is possible (there, H + ``SHARED`` segments are enough). Segments get one of three allocations by cost:
 
 * 0: shingles that are frequent in a bounded sample take no part, so passages that many documents share
   make no candidates (differing less in the rest, a pair still agrees somewhere). A set with too few other
@@ -17,11 +17,16 @@ partner there is possible (there, H + 1 segments are enough). Segments get one o
 Bands in which some set fills fewer than H + 1 segments are noted; they are hashed once more into four times as
 many segments, and so on, until every set fills enough of some partition. Sets of one band with H = 0 can only be equal.
 
+A set that sends ``s`` segments shares at least s - H of them, or ``SHARED``, with a similar one. Sets that share fewer
+with all others together leave, and so on with what is left, so a shingle that unrelated texts share by chance makes no
+candidates. Without that, their number grew with the square of the documents.
+
 Equal sets form a class, and everything below is between classes. Signatures of one class are dropped. A signature
-puts its classes under the smallest one, their leader. Members are verified against their leader on the texts, and
-linked classes form components. Where a group has members of several components, those outside one of them are
-compared with all members, block by block in the tasks. So a group of near copies costs a few comparisons per member,
-while no link is lost.
+puts its classes under the smallest one, their leader. Each class is first verified on the texts against one leader,
+that of the most of its groups, and linked classes form components. Only groups that then hold several components go
+on: members are verified against a leader of another component, and where components still differ, those outside one
+of them are compared with all members, block by block in the tasks. So a group of near copies costs a few comparisons
+per member, while no link is lost: within a component no further one is needed.
 
 Texts are shipped only for classes that a sketch cannot tell apart. The sketch of a set counts its shingles in about as
 many buckets as there are shingles, in half a byte each. Bucket counts of two sets differ by at most as much as the
@@ -52,6 +57,7 @@ BLOCK_MEMBERS = 512        # classes on either side of a comparison of blocks
 PRODUCT_SHINGLES = 4096    # shingles counted at once there
 FINE = 4                   # times as many segments for whole sets, so that frequent shingles fill few of the sent ones
 LARGEST = 1 << 24          # shingles in the largest band; larger sets share it
+SHARED = 16                # signatures that a set must share with others, if it sends so many more than H
 
 _U = np.uint64
 
@@ -172,11 +178,13 @@ def _jobs(sizes: np.ndarray, percent: int, table: list[Band]) -> tuple[np.ndarra
 
 
 def signatures(sets: Sets, percent: int, table: list[Band], frequent: np.ndarray,
-               finer: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, signature) of every allocated segment, and bands in which some set fills too few."""
+               finer: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) of every allocated segment, bands in which some set fills too few, and for every set how many
+    of its signatures any similar set has."""
     rows, bands_, owns = _jobs(sets.sizes, percent, table)
+    need = np.full(len(sets.sizes), SHARED, np.int64)
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), need
     differ, segments, enough, least = (np.array([getattr(b, c) for b in table])
                                        for c in ("differ", "segments", "enough", "least"))
     factor = np.ones(len(table), np.int64)
@@ -220,18 +228,26 @@ def signatures(sets: Sets, percent: int, table: list[Band], frequent: np.ndarray
         # has that shingle too, sends it as well. Only sets with fewer of them send the others.
         held = np.zeros(len(used), bool)
         held[slot[rare[at]]] = True
-        few = np.bincount(owner, held, len(jobs)) <= differ[band]
-        # A visitor from the band below meets sets of the band only: H + 1 of its segments are enough.
+        n_held = np.bincount(owner, held, len(jobs)).astype(np.int64)
+        few = n_held <= differ[band]
+        # At most H of the held ones are not the partner's; a set with few of them may share a single segment.
+        np.minimum.at(need, row, np.maximum(n_held - differ[band], 1))
+        # A visitor from the band below meets sets of the band only: H + SHARED of its segments are enough.
         number = np.empty(len(used), np.int64)
         number[np.lexsort((~held, owner))] = np.arange(len(used)) - np.searchsorted(owner, owner)
-        sent = np.flatnonzero((held | few[owner]) & (own[owner] | (number <= differ[band[owner]])))
+        sent = np.flatnonzero((held | few[owner]) & (own[owner] | (number < differ[band[owner]] + SHARED)))
         out_rows.append(row[owner[sent]])
         out_sigs.append(arrays.mix(sums[sent] ^ arrays.mix(place[sent])))
         one = np.flatnonzero(differ[band[job]] == 1)
         if len(one):                                # the set without one shingle, for every shingle
             out_rows.append(row[job[one]])
             out_sigs.append(arrays.mix((sums[slot[one]] - token[one]) ^ arrays.mix(label[job[one]])))
-    return np.concatenate(out_rows), np.concatenate(out_sigs), np.unique(bands_[poor])
+    row, sig = np.concatenate(out_rows), (np.concatenate(out_sigs) >> _U(16)).view(np.int64)
+    # Signatures of a set that fall together count once.
+    order = np.lexsort((sig, row))
+    again = (np.diff(row[order]) == 0) & (np.diff(sig[order]) == 0)
+    need = np.maximum(need - np.bincount(row[order][1:][again], minlength=len(need)), 1)
+    return row, sig, np.unique(bands_[poor]), need
 
 
 def _slices(batches, k):
@@ -251,16 +267,16 @@ def _profile(k: int):
 
 
 def _emit(k: int, percent: int, frequent: np.ndarray, finer: dict[int, int]):
-    """Signatures of 48 bits (an accident costs one comparison); -1 - band marks a band with a set that fills
-    too few segments."""
+    """Signatures of 48 bits (an accident costs one comparison) and how many of its own a class must share; -1 - band
+    marks a band with a set that fills too few segments."""
     table = bands(percent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sets in _slices(batches, k):
-            row, sig, poor = signatures(sets, percent, table, frequent, finer)
+            row, sig, poor, need = signatures(sets, percent, table, frequent, finer)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([(sig >> _U(16)).view(np.int64), -1 - poor])),
-                 pa.array(np.concatenate([sets.classes[row], 0 * poor]))], ["sig", "cls"])
+                [pa.array(np.concatenate([sig, -1 - poor])), pa.array(np.concatenate([sets.classes[row], 0 * poor])),
+                 pa.array(np.concatenate([need[row], 0 * poor]).astype(np.int32))], ["sig", "cls", "need"])
 
     return scan
 
@@ -412,7 +428,7 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     roots = labels.select(F.col("id").alias("cls"), "root")
     named = members.join(roots, "cls", "left").select("lead", "cls", F.coalesce("root", "cls").alias("root"))
     base = named.groupBy("lead").agg(F.min("root").alias("base"))
-    # The leader itself has been compared with every member.
+    # The leader itself has been compared with every member, or is of its component.
     named = shared.cut(named.join(base, "lead").where("cls <> lead").select(
         "lead", "cls", "root", (F.col("root") != F.col("base")).alias("outer")))
     sketched = _placed(named).join(classes.select("cls", "n", "sketch"), "cls")
@@ -425,6 +441,37 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
         .applyInArrow(_blocks(k, percent), "a long, b long").distinct()
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """(sig, lead, cls, need) of the signatures of several classes, without classes that share too few of them."""
+    before = None
+    while True:
+        ends = shared.cut(rows.groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("last"))
+                          .where("lead < last").select("sig", "lead"))
+        groups = rows.select("sig", "cls", "need").join(ends, "sig")
+        now = groups.count()
+        if before is not None and 10 * now >= 9 * before:
+            return groups
+        able = groups.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("cls")
+        rows, before = shared.cut(groups.join(able, "cls", "left_semi")), now
+
+
+def nearest(groups: DataFrame) -> DataFrame:
+    """(a, b): every class b and the leader a of the most of its ``groups`` (sig, lead, cls), but for its own."""
+    shared_groups = groups.where("lead < cls").groupBy("lead", "cls").agg(F.count(F.lit(1)).alias("n"))
+    return shared_groups.groupBy("cls").agg(F.min(F.struct((-F.col("n")).alias("n"), "lead")).alias("most")) \
+        .select(F.col("most.lead").alias("a"), F.col("cls").alias("b"))
+
+
+def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(lead, lead_root, cls, root) of the groups that hold several components; all pairs of the others are in one."""
+    roots = labels.select(F.col("id").alias("cls"), "root")
+    named = shared.cut(groups.select("sig", "cls").join(roots, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root")))
+    open_ = named.groupBy("sig").agg(
+        F.min("cls").alias("lead"), F.min_by("root", "cls").alias("lead_root"), F.min("root").alias("low"), F.max("root").alias("high")) \
+        .where("low < high").select("sig", "lead", "lead_root")
+    return named.join(open_, "sig").select("lead", "lead_root", "cls", "root").distinct()
+
+
 def join(docs: DataFrame, k: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(rid, doc_id, n_shingles, cls, component, component_id) for every row of ``docs``.
 
@@ -441,7 +488,7 @@ def join(docs: DataFrame, k: int, percent: int, id_column: str = "doc_id", text_
         F.min("rid").alias("rid"), F.min("doc_id").alias("low_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")))
 
     def repeated(finer: dict[int, int]) -> tuple[DataFrame, DataFrame]:
-        rows = docs.select("text").mapInArrow(_emit(k, percent, frequent, finer), "sig long, cls long")
+        rows = docs.select("text").mapInArrow(_emit(k, percent, frequent, finer), "sig long, cls long, need int")
         return rows, shared.cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or sig < 0").select("sig"))
 
     finer: dict[int, int] = {}
@@ -451,15 +498,14 @@ def join(docs: DataFrame, k: int, percent: int, id_column: str = "doc_id", text_
         if not poor:
             break
         finer |= {band: 4 * finer.get(band, 1) for band in poor}
-    rows = shared.cut(rows.join(twice.where("sig >= 0"), "sig", "left_semi").groupBy("sig", "cls")
-                      .agg(F.lit(1).alias("one")).select("sig", "cls"))
-    ends = shared.cut(rows.groupBy("sig").agg(F.min("cls").alias("lead"), F.max("cls").alias("last"))
-                      .where("lead < last").select("sig", "lead"))
-    members = shared.cut(rows.join(ends, "sig").select("lead", "cls").distinct())
-    links = shared.cut(verified(_with_keys(
-        members.where("cls > lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")), classes, percent),
-        docs, k, percent))
-    labels = components(links)
+    groups = grouped(shared.cut(rows.join(twice.where("sig >= 0"), "sig", "left_semi").groupBy("sig", "cls")
+                                .agg(F.min("need").alias("need"))))
+    links = shared.cut(verified(_with_keys(nearest(groups), classes, percent), docs, k, percent))
+    members = shared.cut(unsettled(groups, components(links)))
+    links = shared.cut(links.union(verified(_with_keys(
+        members.where("root <> lead_root").select(F.col("lead").alias("a"), F.col("cls").alias("b")), classes, percent),
+        docs, k, percent)))
+    members, labels = members.select("lead", "cls"), components(links)
     late = shared.cut(_across(members, labels, classes, docs, k, percent))
     if late.limit(1).count():
         labels = components(links.union(late))

@@ -120,6 +120,24 @@ def test_jaccard_join_with_frequent_shingles_and_poor_bands(docs, monkeypatch):
     assert got() == expected
 
 
+def test_jaccard_join_compares_no_chance_pairs_and_no_settled_copies(spark, monkeypatch):
+    words = [[f"w{i}x{j}" for j in range(300)] for i in range(24)]
+    for i, j in ((i, j) for i in range(24) for j in range(i)):
+        words[i][12 * j:12 * j + 3] = words[j][12 * i:12 * i + 3] = [f"pair{i}x{j}x{p}" for p in range(3)]     # one shingle
+    copies = [[w if j != 20 * i else "other" for j, w in enumerate(words[0])] for i in range(1, 13)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words + copies)]
+    compared, across = [], jaccard_join._across
+
+    def spy(members, *rest):
+        compared.append(members.count())
+        return across(members, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_across", spy)
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(i, 0 if i >= 24 else i) for i in range(36)}
+    assert compared == [0]
+
+
 def test_one_of_each(odd_docs, docs):
     for table in (odd_docs, docs):
         kept = jaccard_join.one_of_each(table, 3, 90)
