@@ -452,7 +452,7 @@ def grouped(rows: DataFrame) -> DataFrame:
         if before is not None and 10 * now >= 9 * before:
             return groups
         able = groups.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("n >= need").select("cls")
-        rows, before = shared.cut(groups.join(able, "cls", "left_semi")), now
+        rows, before = shared.cut(groups.join(able, "cls", "left_semi").select("sig", "cls", "need")), now
 
 
 def nearest(groups: DataFrame) -> DataFrame:
