@@ -415,3 +415,34 @@ def test_sketches_put_off_no_link():
                 bits = int(jaccard_join.sketch_bits(sets.sizes).min())
                 apart = jaccard_join.distances(jaccard_join.buckets([a], bits), jaccard_join.buckets([b], bits))
                 assert jaccard_join.may_link(percent, apart, sets.sizes[:1], sets.sizes[1:]).all()
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_jaccard_signatures_are_shared_whatever_counts_as_frequent(percent):
+    draw, table, pairs = np.random.default_rng(percent), jaccard_join.bands(percent), 0
+    for _ in range(250):
+        n = int(draw.choice([3, 9, 20, 60, 150, 400]))
+        first = draw.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+        second = np.concatenate([first[draw.random(n) < draw.choice([0.85, 0.93, 0.98])],
+                                 draw.integers(0, 1 << 63, int(draw.integers(0, n // 10 + 2)), dtype=np.uint64) << np.uint64(1)])
+        both = [np.unique(first), np.unique(second)]
+        common = len(np.intersect1d(*both))
+        if np.array_equal(*both) or not common or 100 * common < percent * (len(both[0]) + len(both[1]) - common):
+            continue
+        # All shingles, none, a random share, or those that the two hold in common count as frequent.
+        frequent = np.zeros(1 << jaccard_join.FREQUENT_BITS, bool)
+        share = draw.choice([0, 0.1, 0.5, 0.9, 0.97, 1])
+        held = np.intersect1d(*both) if draw.random() < 0.3 else np.union1d(*both)
+        frequent[(held[draw.random(len(held)) < share] >> np.uint64(64 - jaccard_join.FREQUENT_BITS)).astype(np.int64)] = True
+        sets = object.__new__(jaccard_join.Sets)
+        sets.sets, sets.sizes, sets.flat = both, np.array([len(b) for b in both]), np.concatenate(both)
+        sets.bounds = np.concatenate([[0], np.cumsum(sets.sizes)])
+        finer = {}
+        while True:
+            row, sig, poor, need = jaccard_join.signatures(sets, percent, table, frequent, finer)
+            if not len(poor):
+                break
+            finer |= {int(b): 4 * finer.get(int(b), 1) for b in poor}
+        assert len(np.intersect1d(sig[row == 0], sig[row == 1])) >= need.max()
+        pairs += 1
+    assert pairs > 60
