@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -417,6 +419,59 @@ def test_sketches_put_off_no_link():
                 assert jaccard_join.may_link(percent, apart, sets.sizes[:1], sets.sizes[1:]).all()
 
 
+def test_packing_does_not_search_for_seeds_that_are_taken(spark, monkeypatch):
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ay", "ee", "oo", "ar", "ing", "ock")]
+    draw, texts = np.random.default_rng(8), []
+    for i in range(24):
+        topic = draw.choice(words, 30)
+        texts += [" ".join(draw.choice(topic, 150 + int(draw.integers(40)))) for _ in range(8)]
+    searched, ask = [], packing._ask
+
+    def spy(queries, *rest):
+        searched.append(len(queries))
+        return ask(queries, *rest)
+
+    monkeypatch.setattr(packing, "_ask", spy)
+    monkeypatch.setattr(packing, "LEAST_BATCH", 6, raising=False)
+    monkeypatch.setattr(packing, "STRIP", 10, raising=False)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.pack(rows, TOKENIZER, window=1200).collect()
+    assert sum(p.length for p in pieces) == sum(len(packing.encoder(TOKENIZER)(t, 2)) for t in texts)
+    assert sum(searched) < len(texts) / 2
+
+
+@pytest.mark.parametrize("need", [60, 900])
+def test_packing_lists_are_those_of_a_plain_search(monkeypatch, need):
+    draw = np.random.default_rng(need)
+    topics = [draw.choice(3000, 60) for _ in range(6)]
+    documents = [np.append(draw.choice(topics[i % 6], int(n)), 2) for i, n in enumerate(draw.integers(1, 120, 400))]
+    terms, counts = zip(*(np.unique(d, return_counts=True) for d in documents))
+    sizes = np.array([len(d) for d in documents])
+    df = np.bincount(np.concatenate(terms))
+    statistics = packing.Statistics(400, int(sizes.sum()), np.flatnonzero(df), df[df > 0])
+    monkeypatch.setattr(packing, "STRIP", 37)
+    monkeypatch.setattr(packing, "GROUP", 9)
+    rows = [{"width": 4, "terms": t.astype(np.uint32).tobytes(), "counts": c.astype(np.uint32).tobytes(), "size": int(s), "mark": 0,
+             "mid": i, "weight": float(statistics.weights(t, c, s).sum())} for i, (t, c, s) in enumerate(zip(terms, counts, sizes))]
+    rows.sort(key=lambda r: -r["weight"])
+    unused = draw.random(400) < 0.8
+    seeds = np.flatnonzero(unused)
+    keys = np.array([statistics.key(terms[s], counts[s]) for s in seeds])
+    nearby = packing.Nearby(keys, [terms[s] for s in seeds], [counts[s] for s in seeds], sizes[seeds], statistics)
+    least = nearby.least(np.arange(len(seeds)), need)
+    ask = packing._ask([terms[s] for s in seeds], least, need, len(df), np.packbits(~unused, bitorder="little"), np.array([0]), np.array([0]))
+    found = [b for part in (rows[0::2], rows[1::2]) for b in ask(packing._strips(statistics)(iter([pa.RecordBatch.from_pylist(part)])))]
+    merged = pa.Table.from_batches(list(packing._merge(need)(iter(found))))
+    assert (least >= 0).sum() > 100
+    for i, seed in enumerate(seeds):
+        mine = merged.filter(pc.equal(merged["seed"], i)).sort_by("rank")["mid"].to_numpy()
+        score = np.array([sum(statistics.weights(t, c, s)[np.isin(t, terms[seed])]) for t, c, s in zip(terms, counts, sizes)])
+        best = seeds[np.argsort(-score[seeds], kind="stable")]
+        length = max(int(np.searchsorted(np.cumsum(sizes[best]), need)) + 1, packing.DEPTH)
+        assert np.allclose(score[mine], score[best[:len(mine)]], rtol=1e-5) and len(set(mine)) == len(mine)
+        assert len(mine) == min(length, len(best)) or sizes[mine].sum() >= need
+
+
 @pytest.mark.parametrize("percent", [70, 80, 90])
 def test_jaccard_signatures_are_shared_whatever_counts_as_frequent(percent):
     draw, table, pairs = np.random.default_rng(percent), jaccard_join.bands(percent), 0
